@@ -7,7 +7,7 @@ import hashlib  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, secret_scan, token_store
+from . import chat, line_dedup, mixing, near_dedup, secret_scan, token_store
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,3 +133,30 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op6_line_dedup": OP6_SQL, "op9_chat_format": OP9_SQL, "op10_mixing": OP10_SQL}
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.v = b.v AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(node, root) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.node WHERE r.root < p.b
+)
+SELECT s.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(r.root) AS component_id, min(r.root) = s.doc_id AS kept
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id
+"""
+QUERIES["op7_near_dedup"] = op7_near_dedup
+ORACLES["op7_near_dedup"] = OP7_SQL
