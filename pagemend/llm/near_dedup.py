@@ -13,7 +13,8 @@
    x and y share an element of x ^ h and y ^ h (else J(x, y) <= J(x, h)), and at least
    t * |x | h| - |x & h| of them. So differences from hubs are listed by the same
    rarest-first rule, lists within one component are done, and the rest are compared,
-   pair by pair if few, by hubs of their own and another round otherwise.
+   pair by pair behind a test of sizes and places that passes few, or by hubs of their
+   own in another round while there are too many to test.
 5. Links give components; a document's component is the least doc_id reachable.
 
 Full sets are rebuilt only for documents in some comparison. Nothing is capped.
@@ -46,8 +47,8 @@ NEAR_ESTIMATE = 0.2
 CACHE_WORDS = 400_000
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Residual lists whose comparisons number at most this are compared pair by pair.
-DIRECT_PAIRS = 100_000
+#: Up to so many tests of two numbers the lists that hubs left are joined with themselves.
+DIRECT_TESTS = 50_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -123,7 +124,7 @@ def _compare(percent: int, near: float):
 
     def run(batches):
         for batch in batches:
-            link, near_, need, size, diff = [], [], [], [], []
+            link, near_, need, own, hub, diff = [], [], [], [], [], []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
                 both = np.concatenate([a, b])
@@ -134,7 +135,8 @@ def _compare(percent: int, near: float):
                 ok = inter >= near * union
                 link.append(linked)
                 near_.append(ok)
-                size.append(union - inter)
+                own.append(len(a) - inter)
+                hub.append(len(b))
                 if ok:
                     lone = np.ones(len(both), bool)
                     lone[twice] = lone[twice + 1] = False
@@ -144,28 +146,27 @@ def _compare(percent: int, near: float):
                     diff.append(None)
                     need.append(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(link), pa.array(near_), pa.array(need, pa.int64()), pa.array(size, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
-                names=["x", "h", "link", "near", "need", "size", "diff"],
+                [batch.column(0), batch.column(1), pa.array(link), pa.array(near_), pa.array(need, pa.int64()), pa.array(own, pa.int64()), pa.array(hub, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
+                names=["x", "h", "link", "near", "need", "own", "hub", "diff"],
             )
 
     return run
 
 
-def _rarest(rows: DataFrame, key: list[str], scope: list[str], value: str, length) -> DataFrame:
-    """Of each key's values the ``length`` rarest within scope, less those that stand alone.
+def _ranked(rows: DataFrame, key: list[str], scope: list[str], value: str) -> DataFrame:
+    """Values that more than one key of the scope has, with ``at``, their place by rarity in the key.
 
-    Values of one row only come first in rarity; they are counted, not kept.
+    Values of one key only come first in rarity; they are counted, not kept.
     """
     counts = rows.groupBy(*scope, value).agg(F.count("*").alias("df")).filter("df > 1")
     common = rows.join(counts, [*scope, value])
     order = Window.partitionBy(*key).orderBy("df", value)
-    own = common.withColumn("at", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy(*key)))
-    return own.filter(F.col("at") <= length)
+    return common.withColumn("at", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy(*key)))
 
 
-def _star(lists: DataFrame, key: list[str], weight) -> DataFrame:
-    """(x, h): each member of a list with the member of the greatest weight (ties to the least id)."""
-    hubs = lists.groupBy(*key).agg(F.max(F.struct(weight.alias("w"), (-F.col("x")).alias("neg"))).alias("hub"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi")
+def _star(lists: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
+    """(x, h): each member of a list with the candidate of the greatest w (ties to the least id)."""
+    hubs = candidates.groupBy(*key).agg(F.max(F.struct("w", (-F.col("x")).alias("neg"))).alias("hub"))
     pairs = lists.join(hubs.select(*key, (-F.col("hub.neg")).alias("h")), key).filter("x <> h")
     return pairs.select("x", "h").distinct()
 
@@ -173,7 +174,7 @@ def _star(lists: DataFrame, key: list[str], weight) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("hx")), "x")
     both = left.join(sets.select(F.col("node").alias("h"), F.col("hashes").alias("hh")), "h")
-    return cut(both.select("x", "h", "hx", "hh").mapInArrow(_compare(percent, NEAR), "x long, h long, link boolean, near boolean, need long, size long, diff array<long>"))
+    return cut(both.select("x", "h", "hx", "hh").mapInArrow(_compare(percent, NEAR), "x long, h long, link boolean, near boolean, need long, own long, hub long, diff array<long>"))
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -187,14 +188,16 @@ def _first_pairs(reps: DataFrame, percent: int, k: int) -> DataFrame:
     t = percent / 100
     c = shared_values(k, t)
     kept = F.size("sketch")
-    need = F.least(F.lit(c), F.ceil(F.col("n") * percent / 100)) if k else None
+    need = F.least(F.lit(c), F.ceil(F.col("n") * percent / 100))
     values = reps.select(F.col("node").alias("x"), "n", kept.alias("size"), need.alias("need"), F.explode("sketch").alias("v"))
-    lists = _rarest(values, ["x", "n"], [], "v", F.col("size") - F.col("need") + 1)
     central = F.sum(F.log("df")).over(Window.partitionBy("x", "n")) / F.col("size")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t)).cast("int")
-    lists = lists.withColumn("w", central).withColumn("band", F.explode(F.array(band, band + 1)))
-    lists = cut(lists.select("x", "v", "band", "w"))
-    pairs = _star(lists, ["v", "band"], F.col("w"))
+    ranked = _ranked(values, ["x", "n"], [], "v").withColumn("w", central).withColumn("band", F.explode(F.array(band, band + 1)))
+    ranked = cut(ranked.select("x", "v", "band", "w", (F.col("at") <= F.col("size") - F.col("need") + 1).alias("listed")))
+    # a hub may hold the value beyond its listed ones, so that the lists of a group agree on one hub
+    lists = ranked.filter("listed")
+    several = lists.groupBy("v", "band").agg(F.count("*").alias("m")).filter("m > 1").select("v", "band")
+    pairs = _star(lists.join(several, ["v", "band"]), ranked, ["v", "band"])
     sk = reps.select("node", "sketch")
     both = pairs.join(sk.select(F.col("node").alias("x"), F.col("sketch").alias("sx")), "x").join(sk.select(F.col("node").alias("h"), F.col("sketch").alias("sh")), "h")
     union = F.slice(F.array_sort(F.array_union("sx", "sh")), 1, k)
@@ -206,12 +209,27 @@ def _left_over(found: DataFrame, comps: DataFrame) -> DataFrame:
     """Lists of shared differences (h, v) that hold several components, one of them unlinked to h."""
     open_hubs = found.filter("near and not link").select("h").distinct()
     rows = found.filter("near").join(open_hubs, "h", "left_semi")
-    values = rows.select("x", "h", "link", "need", "size", F.explode("diff").alias("v"))
-    short = _rarest(values, ["x", "h"], ["h"], "v", F.col("size") - F.greatest("need", F.lit(1)) + 1)
+    values = rows.select("x", "h", "link", "need", "own", "hub", F.size("diff").alias("size"), F.explode("diff").alias("v"))
+    short = _ranked(values, ["x", "h"], ["h"], "v").filter(F.col("at") <= F.col("size") - F.greatest("need", F.lit(1)) + 1)
     named = short.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     lists = named.groupBy("h", "v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.expr("if(link, 0, 1)")).alias("n_open"), F.count("*").alias("n_all"))
     several = lists.filter("c0 < c1 and n_open > 0").select("h", "v", "n_open", "n_all")
-    return cut(named.join(several, ["h", "v"]).select("x", "h", "v", "link", "size", "comp", "n_open", "n_all"))
+    return cut(named.join(several, ["h", "v"]).select("x", "h", "v", "at", "link", "size", "own", "hub", "comp", "n_open", "n_all"))
+
+
+def _direct(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the lists that can still be at the similarity.
+
+    With o shared differences, |x & y| = |h| - |h - x| - |h - y| + o, so the similarity sets
+    the least o; the first shared value, at places i and j, leaves 1 + min of what follows.
+    """
+    a, b = rest.filter("not link").alias("a"), rest.alias("b")
+    both = F.col("a.size") + F.col("b.size")
+    own = F.col("a.own") + F.col("b.own")
+    least = percent * (F.col("a.hub") + own) - 100 * F.col("a.hub") + 100 * (both - own)
+    most = 1 + F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.comp") != F.col("b.comp")) & (most * (100 + percent) >= least)
+    return a.join(b, on).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("h")).distinct()
 
 
 def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame:
@@ -229,12 +247,11 @@ def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: in
         n_open = rest.select("h", "v", "n_open", "n_all").distinct().agg(F.sum(F.col("n_open") * F.col("n_all"))).first()[0] or 0
         if not n_open:
             return links
-        if n_open <= DIRECT_PAIRS:
-            a, b = rest.filter("not link").alias("a"), rest.alias("b")
-            on = (F.col("a.h") == F.col("b.h")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.comp") != F.col("b.comp"))
-            pairs = a.join(b, on).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("h")).distinct()
-            return links.unionByName(_links(cut(pairs), sets, percent).filter("link").select(F.col("x").alias("a"), F.col("h").alias("b")))
-        star = _star(rest.withColumnRenamed("h", "from_hub"), ["from_hub", "v"], -F.col("size"))
+        if n_open <= DIRECT_TESTS:
+            last = _links(cut(_direct(rest, percent)), sets, percent)
+            return links.unionByName(last.filter("link").select(F.col("x").alias("a"), F.col("h").alias("b")))
+        named = rest.withColumnRenamed("h", "from_hub").withColumn("w", -F.col("size"))
+        star = _star(named, named, ["from_hub", "v"])
         old = done.unionByName(done.select(F.col("h").alias("x"), F.col("x").alias("h")))
         pairs = cut(star.join(old, ["x", "h"], "left_anti"))
         if pairs.isEmpty():
