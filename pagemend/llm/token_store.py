@@ -21,9 +21,13 @@ empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,8 +42,8 @@ HEAD = struct.Struct("<4sIQQIIQQQ")
 SAMPLE = 64
 END_ID = 2
 SEGMENT_DOCS = 4096
-#: Words that the cache of a worker holds before it is emptied.
-CACHE_WORDS = 400_000
+#: Words (and pieces) in each of the two halves of a worker's cache: about 150 MB in all.
+CACHE_WORDS = 200_000
 
 
 class EliasFano:
@@ -146,50 +150,121 @@ def read_file(folder: str, name: str) -> bytes:
 
 
 class WordTokenizer:
-    """Encodes texts word by word with a bounded cache.
+    """Encodes texts word by word with bounded caches.
 
     Only for tokenizers that drop white space and never merge over it; then the ids of a
     text are the ids of its words in turn. ``separable`` checks the tokenizer's own parts.
+    A word of Latin-1 that isn't cached is lower-cased, as the tokenizer would do, and cut
+    further where a letter meets punctuation (the tokenizer's own split always cuts there;
+    apostrophes are left, as they begin suffixes). Pieces of letters only go straight to
+    the tokenizer's BPE model in its byte alphabet.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.separable = self._separable(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.words, self.pieces = Generations(CACHE_WORDS), Generations(CACHE_WORDS)
 
     @staticmethod
     def _separable(path: str) -> bool:
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         split = next((p for p in pre.get("pretokenizers", []) if p.get("type") == "Split"), {})
         kinds = [n.get("type") for n in norm.get("normalizers", [])]
         drops = split.get("behavior") == "Removed" and split.get("invert") and "\\s" in str(split.get("pattern"))
-        return bool(drops) and kinds == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
+        suffix = (spec.get("model") or {}).get("type") == "BPE" and any(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") for p in pre.get("pretokenizers", []))
+        marked = suffix and all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in spec.get("added_tokens", []))
+        return bool(drops) and marked and kinds == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
+
+    def _run(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: pieces are encoded together and told apart by offsets."""
+        out = []
+        for i in range(0, len(pieces), 500):
+            part = pieces[i : i + 500]
+            whole = self.tok.encode(" ".join(part), add_special_tokens=False)
+            at = np.array([o[0] for o in whole.offsets], np.int64)
+            starts = np.cumsum([0, *(len(p) + 1 for p in part)])
+            if len(at) and (np.diff(at) < 0).any():
+                out += [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch(part, add_special_tokens=False)]
+                continue
+            ids, cuts = np.array(whole.ids, np.uint32).tobytes(), (4 * np.searchsorted(at, starts)).tolist()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        cut = [_SEAM.split(w.lower()) if _LATIN.fullmatch(w) and "<|" not in w else [w] for w in words]
+        known = self.pieces
+        known.turn()
+        new = known.missing({p for parts in cut for p in parts})
+        tokenize, rest = self.tok.model.tokenize, []
+        for p in new:
+            if _LETTERS.fullmatch(p):
+                known.now[p] = array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                rest.append(p)
+        for p, ids in zip(rest, self._run(rest), strict=True):
+            known.now[p] = ids
+        for w, parts in zip(words, cut, strict=True):
+            self.words.now[w] = b"".join([known.now[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.separable:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        # only white space that every such tokenizer drops; other kinds stay inside a "word"
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in words]), np.uint32) for words in split]
+        out = []
+        for text in texts:
+            # only white space that every such tokenizer drops; other kinds stay inside a "word"
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            self.words.turn()
+            new = self.words.missing(set(words))
+            if new:
+                self._learn(new)
+            ids = self.words.now
+            out.append(np.frombuffer(b"".join([ids[w] for w in words]), np.uint32))
+        return out
+
+
+class Generations:
+    """A dictionary of bounded size: when the young half is full it becomes the old half."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {"": b""}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.old = {"": b""}, self.now
+
+    def missing(self, keys: set[str]) -> list[str]:
+        keys = keys.difference(self.now)
+        if self.old:
+            for k in [k for k in keys if k in self.old]:  # intersection() would walk the dictionary
+                self.now[k] = self.old[k]
+            keys = keys.difference(self.now)
+        return list(keys)
+
+
+_LATIN = re.compile(r"[\x00-\xff]*")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_SEAM = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
+#: The byte alphabet of byte-level vocabularies: printable Latin-1 stays, other bytes go to U+0100 and up, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer, with its caches, for all tasks of a Python worker."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def _tokenize(path: str, id_bytes: int):
     def run(batches):
-        tok = WordTokenizer(path)
+        tok = worker_tokenizer(path)
         kind = np.uint16 if id_bytes == 2 else np.uint32
         for batch in batches:
             ids = [np.append(x, np.uint32(END_ID)).astype(kind).tobytes() for x in tok.encode([t or "" for t in batch.column(2).to_pylist()])]
