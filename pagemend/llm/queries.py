@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib  # noqa: F401
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, near_dedup, secret_scan, token_store
+from . import ann, chat, line_dedup, media, mixing, near_dedup, pieces, secret_scan, token_store, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,3 +158,30 @@ FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id
 """
 QUERIES["op7_near_dedup"] = op7_near_dedup
 ORACLES["op7_near_dedup"] = OP7_SQL
+
+
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_texts(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "__pieces.*")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model).select("doc_id", "__toxicity.*")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__media.*")
+
+
+QUERIES |= {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_sentence_pieces": op2_sentence_pieces,
+    "op3_toxicity": op3_toxicity,
+    "op8_media_columns": op8_media_columns,
+}
