@@ -7,8 +7,9 @@ the greatest sum of scores; a character that no piece covers costs the least sco
 10 and comes out as its UTF-8 bytes.
 
 Spaces become markers (U+2581) and one marker goes before the text, if the model says so.
-No piece has a marker after another character, so the best split of a text is the best
-splits of its chunks (markers, then other characters), which are cached in bounded halves.
+Where no piece has a marker after another character, the best split of a text is the best
+splits of its chunks (markers, then other characters), which are cached in bounded halves;
+a vocabulary with such pieces is searched over the whole text.
 The trie is built once on the driver and shipped; its size is the vocabulary's.
 
 Defined cases: null or empty text has no ids; a marker character in the text decodes as a
@@ -35,6 +36,8 @@ from .token_store import Generations
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 250_000
+#: Longer chunks are encoded each time, so that the cache's bytes are bounded too.
+CACHED_CHARS = 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PROCESS: dict[int, Encoder] = {}
@@ -108,41 +111,49 @@ class DoubleArray:
                 node = tree[node][c]
             ends[node] = ident
         size = 2 * len(tree) + len(self.codes) + 2
-        base, check, value = [0] * size, [-1] * size, [-1] * size
-        check[0] = 0
-        place, free = {0: 0}, 1
+        taken = bytearray(size)
+        taken[0] = 1
+        place: dict[int, int] = {}
         order = [0]
         for node in order:  # breadth first
             order.extend(tree[node].values())
-        for node in sorted(order, key=lambda n: -len(tree[n])):
-            if tree[node]:
-                free = self._fit(node, tree[node], base, check, value, free, place)
-        # states are numbered by node until all are placed
-        self.base, self.check, self.value = base, check, value
-        self._settle(tree, place, ends)
+        # wide nodes first, each at the first place of its children after ``start``; places that
+        # fail often are left to the nodes of one child, which take any
+        start, lone = 1, 1
+        for node in sorted((n for n in order if tree[n]), key=lambda n: -len(tree[n])):
+            cs = sorted(tree[node])
+            if len(cs) > 1:
+                start = self._fit(node, cs, taken, place, start)
+                continue
+            lone = lone if (free := taken.find(0, lone)) < 0 else free
+            at = taken.find(0, max(lone, cs[0] + 1))
+            if at < 0:
+                at = len(taken)
+                taken.extend(bytes(1024))
+            taken[at] = 1
+            place[node] = at - cs[0]
+        self._settle(tree, place, ends, len(taken))
 
     @staticmethod
-    def _fit(node, children, base, check, value, free, place):
-        cs = sorted(children)
-        while free < len(check) and check[free] != -1:
-            free += 1
-        at = max(1, free - cs[0])
+    def _fit(node: int, cs: list[int], taken: bytearray, place: dict[int, int], start: int) -> int:
+        first, tries, at = cs[0], 0, start
         while True:
-            need = at + cs[-1] + 1
-            if need > len(check):
-                grow = need - len(check) + 1024
-                base.extend([0] * grow), check.extend([-1] * grow), value.extend([-1] * grow)
-            if all(check[at + c] == -1 for c in cs):
+            at = taken.find(0, max(at, first + 1))
+            if at < 0:
+                at = len(taken)
+            if at - first + cs[-1] >= len(taken):
+                taken.extend(bytes(at - first + cs[-1] + 1024 - len(taken)))
+            if not any(taken[at - first + c] for c in cs):
                 break
-            at += 1
-        place[node] = at
+            at, tries = at + 1, tries + 1
         for c in cs:
-            check[at + c] = node
-        return free
+            taken[at - first + c] = 1
+        place[node] = at - first
+        return at if tries > 32 else start
 
-    def _settle(self, tree, place, ends) -> None:
+    def _settle(self, tree, place, ends, size: int) -> None:
         state = {0: 0}
-        check, base, value = [-1] * len(self.check), [0] * len(self.check), [-1] * len(self.check)
+        check, base, value = [-1] * size, [0] * size, [-1] * size
         todo = [0]
         for node in todo:
             s = state[node]
@@ -173,6 +184,8 @@ class Model:
             if k == BYTE:
                 self.bytes_[int(p[3:5], 16)] = i
             self.out.append(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode())
+        #: whether a text may be split before each run of markers that follows another character
+        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in pieces if k in (NORMAL, USER))
         self.ident = zlib.crc32(self.base.tobytes() + self.scores.tobytes())
 
 
@@ -224,12 +237,17 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32)
         text = (MARK if self.m.prefix else "") + text.replace(" ", MARK)
-        chunks = _CHUNK.findall(text)
+        chunks = _CHUNK.findall(text) if self.m.splits else [text]
         self.cache.turn()
-        for c in self.cache.missing(set(chunks)):
-            self.cache.now[c] = np.array(self.viterbi(c), np.uint32).tobytes()
+        distinct = set(chunks)
+        long = {c: self._bytes(c) for c in distinct if len(c) > CACHED_CHARS}
+        for c in self.cache.missing(distinct.difference(long)):
+            self.cache.now[c] = self._bytes(c)
         ids = self.cache.now
-        return np.frombuffer(b"".join([ids[c] for c in chunks]), np.uint32)
+        return np.frombuffer(b"".join([long[c] if c in long else ids[c] for c in chunks] if long else [ids[c] for c in chunks]), np.uint32)
+
+    def _bytes(self, chunk: str) -> bytes:
+        return np.array(self.viterbi(chunk), np.uint32).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         out = self.m.out
