@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tune
+from .common import cut, settle, tune
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -127,6 +127,7 @@ def _explode_keys(min_chars: int):
             if ids:
                 both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["k", "h1", "h2"])
+            settle()
 
     return run
 
@@ -194,6 +195,7 @@ def _rewrite(texts: pa.Array, lost: pa.Array) -> pa.Array:
         n_dropped.append(dropped)
         kept.append(text)
         digest.append(hashlib.sha256(text).hexdigest())
+    settle()
     return pa.StructArray.from_arrays(
         [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())],
         names=["n_lines", "n_dropped", "kept", "sha256"],

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tune
+from .common import cut, settle, tune
 from .components import connected
 
 WIDTH = 5
@@ -44,7 +44,7 @@ K = 32
 MISS = 1e-8
 NEAR = 0.4
 NEAR_ESTIMATE = 0.2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Up to so many tests of two numbers the lists that hubs left are joined with themselves.
@@ -105,6 +105,7 @@ def _sketches(width: int, k: int):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "f1", "f2", "sketch"],
             )
+            settle()
 
     return run
 
@@ -115,6 +116,7 @@ def _sets(width: int):
         for batch in batches:
             sets = [shingle(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            settle()
 
     return run
 
@@ -149,6 +151,7 @@ def _compare(percent: int, near: float):
                 [batch.column(0), batch.column(1), pa.array(link), pa.array(near_), pa.array(need, pa.int64()), pa.array(own, pa.int64()), pa.array(hub, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
                 names=["x", "h", "link", "near", "need", "own", "hub", "diff"],
             )
+            settle()
 
     return run
 

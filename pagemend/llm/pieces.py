@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import settle, tune
 from .token_store import Generations
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 80_000
 #: Longer chunks are encoded each time, so that the cache's bytes are bounded too.
 CACHED_CHARS = 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -257,6 +257,7 @@ class Encoder:
 
 def encoder(model: Model) -> Encoder:
     if model.ident not in _PROCESS:
+        _PROCESS.clear()  # a worker keeps the trie and words of one model
         _PROCESS[model.ident] = Encoder(model)
     return _PROCESS[model.ident]
 
@@ -278,6 +279,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
             row = (len(ids), int(byte_piece[ids].sum()), zlib.crc32(raw), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""))
             rows.append((*row, raw) if with_ids else row)
         cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        settle()
         return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
     schema = "struct<n_pieces: long, n_bytes: long, ids_crc32: long, decoded_sha256: string, exact: boolean" + (", ids: binary>" if with_ids else ">")

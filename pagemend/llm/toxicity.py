@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import settle, tune
 
 SAMPLE = 12_000
 LEAST_DOCS = 3
 L1 = 4e-4
 STEPS = 150
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 
 
 def word_hash(word: str) -> int:
@@ -193,7 +193,7 @@ class _Scorer:
         return severity, p, int(severity + 0.5), severity > self.model.cut
 
 
-_SCORERS: dict[int, _Scorer] = {}
+_SCORER: list[_Scorer] = []
 SCORE = "struct<expected_severity: double, p_toxic: double, grade: int, toxic: boolean>"
 
 
@@ -209,9 +209,10 @@ def score_texts(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        own = shipped.value
-        scorer = _SCORERS.get(id(own)) or _SCORERS.setdefault(id(own), _Scorer(own))
-        rows = [scorer(t) for t in texts.to_pylist()]
+        if not _SCORER or _SCORER[0].model is not shipped.value:
+            _SCORER[:] = [_Scorer(shipped.value)]  # a worker keeps the words of one model
+        rows = [_SCORER[0](t) for t in texts.to_pylist()]
+        settle()
         cols = zip(*rows, strict=True) if rows else [[]] * 4
         kinds = (pa.float64(), pa.float64(), pa.int32(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["expected_severity", "p_toxic", "grade", "toxic"])
