@@ -11,8 +11,10 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
@@ -34,9 +36,27 @@ def ratio_value(a: str, b: str, least: float = 0.0) -> float:
     return value if value >= least else 0.0
 
 
+def can_reach(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """Which pairs the bag bound leaves, for a whole batch: bags of characters hashed to 64 counts can only share more."""
+    place: dict[str, int] = {}
+    at = np.array([[place.setdefault(x, len(place)), place.setdefault(y, len(place))] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    length = np.array([len(x) for x in place], np.int64)
+    owner = np.repeat(np.arange(len(place)), length)
+    codes = np.frombuffer("".join(place).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    bags = np.bincount(owner * 64 + codes % 64, minlength=64 * len(place)).reshape(-1, 64).astype(np.int32)
+    shared = np.minimum(bags[at[:, 0]], bags[at[:, 1]]).sum(axis=1)
+    return 2 * shared >= least * (length[at[:, 0]] + length[at[:, 1]])
+
+
 def ratio(a, b, least: float = 0.0) -> Column:
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else ratio_value(x, y, least) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+        x, y = left.to_pylist(), right.to_pylist()
+        whole = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
+        out: list[float | None] = [None] * len(x)
+        hope = can_reach([x[i] for i in whole], [y[i] for i in whole], least) if least else np.ones(len(whole), bool)
+        for i, h in zip(whole, hope.tolist(), strict=True):
+            out[i] = ratio_value(x[i], y[i], least) if h else 0.0
+        return pa.array(out, pa.float64())
 
     return F.arrow_udf(run, "double")(col(a), col(b))
 
@@ -61,6 +81,7 @@ _COMMON = "zqxjkvbpygfwmucldrhsnioate"
 _RANK = {c: i for i, c in enumerate(_COMMON, 1)}
 
 
+@lru_cache(4096)
 def least_common(length: int, gap: int, t: float, shortest: int) -> int:
     """The fewest characters that a token of this length shares with any partner at ratio t."""
     most = 10**9
@@ -71,12 +92,17 @@ def least_common(length: int, gap: int, t: float, shortest: int) -> int:
     return most
 
 
-def bag_keys(token: str, gap: int, t: float, shortest: int, group: int = 3) -> list[int]:
+def group_size(length: int) -> int:
+    """How many items a key takes: large groups tell more, but there are too many of them in long tokens."""
+    return 4 if length <= 16 else 3 if length <= 24 else 2 if length <= 48 else 1
+
+
+def bag_keys(token: str, gap: int, t: float, shortest: int) -> list[int]:
     """Keys of which two tokens at ratio t (lengths within gap) have at least one in common.
 
-    A token is a set of (character, how manieth). Sets that share m items share ``group``
-    of the first n - m + group in any fixed order; rare characters come first. The keys are
-    the groups of that many items.
+    A token is a set of (character, how manieth). Sets that share m items share g of the
+    first n - m + g in any fixed order; rare characters come first. The keys are the groups of
+    g of these, for each size g that a partner's length may ask for.
     """
     seen: Counter = Counter()
     items = []
@@ -85,10 +111,12 @@ def bag_keys(token: str, gap: int, t: float, shortest: int, group: int = 3) -> l
         items.append((-seen[c], _RANK.get(c, 0), c))
     items.sort()
     m = least_common(len(token), gap, t, shortest)
-    group = min(group, m)
-    first = items[: len(items) - m + group]
-    names = [f"{c}{-n}" for n, _, c in first]
-    return [xxhash.xxh3_64_intdigest("|".join(g).encode()) - (1 << 63) for g in combinations(names, group)]
+    out = []
+    # a size follows from one length alone, so that both tokens of a pair have it
+    for g in {min(group_size(n), least_common(n, gap, t, shortest)) for n in range(max(shortest, len(token) - gap), len(token) + gap + 1)}:
+        names = [f"{c}{-n}" for n, _, c in items[: len(items) - m + g]]
+        out += [xxhash.xxh3_64_intdigest("|".join(x).encode(), g) - (1 << 63) for x in combinations(names, g)]
+    return out
 
 
 def blocks_by_bag(c, gap: int, t: float, shortest: int) -> Column:

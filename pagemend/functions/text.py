@@ -102,20 +102,24 @@ def classify(text, canonical) -> Column:
     )
 
 
+def let(value, body) -> Column:
+    """body(value), with the value's expression once in the plan however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def common_prefix(a, b) -> Column:
     """Number of leading characters that agree; linear in their length."""
-    a, b = col(a), col(b)
-    chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
-    differs = F.array_position(F.zip_with(chars(a), chars(b), lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(differs == 0, F.least(F.length(a), F.length(b))).otherwise((differs - 1).cast("int"))
+    chars = lambda c: F.array_remove(F.split(col(c), ""), "")
+    same = F.zip_with(chars(a), chars(b), lambda x, y: x.eqNullSafe(y))
+    return (F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
 
 
 def figure_safe(old, new) -> Column:
     """May a line with a figure be rewritten: the figure lies in what both agree on already."""
-    left, right = strip(old), strip(new)
-    shared = common_prefix(left, right)
-    tail = right.substr(shared + 1, F.length(right))
-    return (~has_numeric_field(old) & ~has_numeric_field(new)) | ((shared >= FIGURE_PREFIX) & ~tail.rlike(DIGIT))
+    shared = lambda s: F.struct(s["r"].alias("r"), common_prefix(s["l"], s["r"]).alias("n"))
+    inside = lambda u: (u["n"] >= FIGURE_PREFIX) & ~u["r"].substr(u["n"] + 1, F.length(u["r"])).rlike(DIGIT)
+    agreed = let(F.struct(strip(old).alias("l"), strip(new).alias("r")), lambda s: let(shared(s), inside))
+    return F.when(has_numeric_field(old) | has_numeric_field(new), agreed).otherwise(True)
 
 
 def anchored(a, b) -> Column:

@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemend.functions.text import let
+
 
 def trigrams(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: c.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Every run of three characters; linear, as the text is cut into characters once."""
+    chars = F.array_remove(F.split(F.col(c) if isinstance(c, str) else c, ""), "")
+    place = lambda x: F.when(F.size(x) >= 3, F.sequence(F.lit(0), F.size(x) - 3)).otherwise(F.array().cast("array<int>"))
+    return let(chars, lambda x: F.transform(place(x), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2))))
 
 
 def near_pairs(probes: DataFrame, canon: DataFrame, key: list[str], gap: int, t: float, shortest: int) -> DataFrame:
@@ -29,6 +33,9 @@ def near_pairs(probes: DataFrame, canon: DataFrame, key: list[str], gap: int, t:
     by_gram = factor > 0
     all_by_gram = by_gram and (2 * shortest - gap) * factor - 2 > 0
     band = F.abs(F.length("text") - F.length("other")) <= gap
+    # most probes are as long as no canonical, within the gap
+    sizes = canon.select(*key, F.length("other").alias("__n")).distinct().select(*key, F.explode(F.sequence(F.col("__n") - gap, F.col("__n") + gap)).alias("__n")).distinct()
+    probes = probes.withColumn("__n", F.length("text")).join(sizes, [*key, "__n"], "left_semi").drop("__n")
     pairs = None
     if by_gram:
         places = canon.filter(shared > 0).select(*key, "other", F.posexplode(trigrams("other")).alias("pos", "gram"))

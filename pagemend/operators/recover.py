@@ -27,10 +27,11 @@ def slot_candidates(low: DataFrame, slots: DataFrame, min_support: int = MIN_CLE
     for name in ("top", "bottom"):
         text, own = F.col(f"__{name}_c.text"), F.col("text")
         blank = (strip(own) == "") | (strip(text) == "")
-        alike = anchored(own, text)
-        if least_ratio is not None:
-            alike = alike | (ratio(strip(own), strip(text), least_ratio) >= least_ratio)
-        out = out.withColumn(f"__{name}_ok", ~blank & alike & (text != own))
+        out = out.withColumn(f"__{name}_ok", ~blank & anchored(own, text) & (text != own))
+        if least_ratio is not None:  # the ratio of long lines is dear: only where no anchor has told
+            asked = F.when(~F.col(f"__{name}_ok") & ~blank & (text != own), strip(own))
+            alike = F.coalesce(ratio(asked, strip(text), least_ratio) >= least_ratio, F.lit(False))
+            out = out.withColumn(f"__{name}_ok", F.col(f"__{name}_ok") | alike)
     found = [F.when(F.coalesce(F.col(f"__{name}_ok"), F.lit(False)), F.col(f"__{name}_c")) for name in ("top", "bottom")]
     best = F.array_max(F.array_compact(F.array(*found)))
     return out.withColumn("slot_text", best["text"]).select(*low.columns, "slot_text")
@@ -52,7 +53,9 @@ def prefix_candidates(low: DataFrame, index: DataFrame, min_prefix: int = MIN_PR
 def recover(low: DataFrame, slots: DataFrame, index: DataFrame, known: list[str] = ()) -> DataFrame:
     """low lines with ``boilerplate`` (the new text or null), ``guard`` and ``refused`` (what a guard stopped)."""
     placed = slot_candidates(low, slots).join(prefix_candidates(low, index), [*CLUSTER, "text"], "left")
-    text, new = F.col("text"), F.coalesce("slot_text", "prefix_text")
-    guard = F.when(new.isNotNull(), F.when(all_vouched("text", known), "known").when(~figure_safe(text, new), "figure"))
+    placed = placed.select(*low.columns, F.coalesce("slot_text", "prefix_text").alias("__new"))
+    text, new, guard = F.col("text"), F.col("__new"), F.col("guard")
+    held = F.when(new.isNotNull(), F.when(all_vouched("text", known), "known").when(~figure_safe(text, new), "figure"))
+    guarded = placed.withColumn("guard", held)
     fix = F.when(guard.isNull() & new.isNotNull() & ~is_cosmetic(text, new), new)
-    return placed.select(*low.columns, fix.alias("boilerplate"), guard.alias("guard"), F.when(guard.isNotNull(), new).alias("refused"))
+    return guarded.select(*low.columns, fix.alias("boilerplate"), "guard", F.when(guard.isNotNull(), new).alias("refused"))
