@@ -36,8 +36,8 @@ def ratio_value(a: str, b: str, least: float = 0.0) -> float:
     return value if value >= least else 0.0
 
 
-def can_reach(left: list[str], right: list[str], least: float) -> np.ndarray:
-    """Which pairs the bag bound leaves, for a whole batch: bags of characters hashed to 64 counts can only share more."""
+def bag_bounds(left: list[str], right: list[str]) -> np.ndarray:
+    """An upper bound of each pair's ratio, for a whole batch: bags of characters hashed to 64 counts can only share more."""
     place: dict[str, int] = {}
     at = np.array([[place.setdefault(x, len(place)), place.setdefault(y, len(place))] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
     length = np.array([len(x) for x in place], np.int64)
@@ -45,7 +45,43 @@ def can_reach(left: list[str], right: list[str], least: float) -> np.ndarray:
     codes = np.frombuffer("".join(place).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     bags = np.bincount(owner * 64 + codes % 64, minlength=64 * len(place)).reshape(-1, 64).astype(np.int32)
     shared = np.minimum(bags[at[:, 0]], bags[at[:, 1]]).sum(axis=1)
-    return 2 * shared >= least * (length[at[:, 0]] + length[at[:, 1]])
+    return 2 * shared / np.maximum(length[at[:, 0]] + length[at[:, 1]], 1)
+
+
+def ratio_bound(a, b) -> Column:
+    """An upper bound of the ratio of two texts that aren't null."""
+    return F.arrow_udf(lambda x, y: pa.array(bag_bounds(x.to_pylist(), y.to_pylist()), pa.float64()), "double")(col(a), col(b))
+
+
+def best_of_sorted(least: float):
+    """Rows (document_id, token, other, bound) sorted by document, token, falling bound -> (document_id, token, best).
+
+    The exact ratio is taken only while the bound can still win; rows of a token come one after
+    the other, so nothing but the best so far is held. Equal ratios keep the row that ranks
+    first by ``place`` (the three columns after the bound).
+    """
+
+    def run(batches):
+        key, best, last = None, None, None
+        for batch in batches:
+            done = []
+            for doc, token, other, bound, *place in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (doc, token) != key:
+                    if best is not None and best[0] > 0:
+                        done.append((*key, best[2]))
+                    key, best, last = (doc, token), None, None
+                if other == last or (best is not None and bound < best[0]):
+                    continue
+                last = other
+                value = ratio_value(token, other, least)
+                if value and (best is None or (-value, place) < (-best[0], best[1])):
+                    best = (value, place, other)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], names=["document_id", "token", "best"])
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*key, best[2])], names=["document_id", "token", "best"])
+
+    return run
 
 
 def ratio(a, b, least: float = 0.0) -> Column:
@@ -53,7 +89,7 @@ def ratio(a, b, least: float = 0.0) -> Column:
         x, y = left.to_pylist(), right.to_pylist()
         whole = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
         out: list[float | None] = [None] * len(x)
-        hope = can_reach([x[i] for i in whole], [y[i] for i in whole], least) if least else np.ones(len(whole), bool)
+        hope = bag_bounds([x[i] for i in whole], [y[i] for i in whole]) >= least - 1e-9 if least and whole else np.ones(len(whole), bool)
         for i, h in zip(whole, hope.tolist(), strict=True):
             out[i] = ratio_value(x[i], y[i], least) if h else 0.0
         return pa.array(out, pa.float64())

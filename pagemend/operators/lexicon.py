@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemend.functions.similarity import blocks_by_bag, ratio
+from pagemend.functions.similarity import best_of_sorted, blocks_by_bag, ratio_bound
 from pagemend.functions.text import all_digits, has_identifier, has_numeric_field, is_cosmetic, tokens
 from pagemend.schema import CLEAN_CONF, LEXICON_LENGTH_GAP, LEXICON_RATIO, TOKEN_LENGTH, lines_of
 
@@ -32,13 +32,14 @@ def closest(asked: DataFrame, lexicon: DataFrame, min_ratio: float = LEXICON_RAT
     """(document_id, token, best) for asked tokens with a neighbour at ``min_ratio``; the first read wins ties."""
     block = lambda c: F.explode(blocks_by_bag(c, gap, min_ratio, TOKEN_LENGTH))
     probes = asked.select("document_id", "token").distinct().join(lexicon.select("document_id", "token"), ["document_id", "token"], "left_anti")
+    place = [F.col(f"first.{c}").alias(f"__{c}") for c in ("page_ord", "line_no", "tok_no")]
     left = probes.select("document_id", "token", block("token").alias("__b"))
-    right = lexicon.select("document_id", F.col("token").alias("other"), block("token").alias("__b"))
+    right = lexicon.select("document_id", F.col("token").alias("other"), *place, block("token").alias("__b"))
     near = F.abs(F.length("token") - F.length("other")) <= gap
-    pairs = left.join(right, ["document_id", "__b"]).filter(near).select("document_id", "token", "other").distinct()
-    scored = pairs.withColumn("__r", ratio("token", "other", min_ratio)).filter(F.col("__r") >= min_ratio)
-    ranked = scored.join(lexicon.select("document_id", F.col("token").alias("other"), "first"), ["document_id", "other"])
-    return ranked.groupBy("document_id", "token").agg(F.min_by("other", F.struct(-F.col("__r"), F.col("first"))).alias("best"))
+    bounded = left.join(right, ["document_id", "__b"]).filter(near).withColumn("bound", ratio_bound("token", "other")).filter(F.col("bound") >= min_ratio - 1e-9)
+    rows = bounded.select("document_id", "token", "other", "bound", "__page_ord", "__line_no", "__tok_no")
+    ranked = rows.repartition("document_id", "token").sortWithinPartitions("document_id", "token", F.desc("bound"), "__page_ord", "__line_no", "__tok_no")
+    return ranked.mapInArrow(best_of_sorted(min_ratio), "document_id string, token string, best string")
 
 
 def repair(lines: DataFrame, lexicon: DataFrame, known: list[str] = ()) -> DataFrame:

@@ -130,7 +130,8 @@ def profile_json(slots: DataFrame, lines: DataFrame, clusters: DataFrame) -> Dat
     by_line = lines.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list("text")).alias("lines"))
     entry = F.struct(F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), F.coalesce("slots", F.create_map().cast("map<string, string>")).alias("slots"))
     each = by_slot.join(by_line, CLUSTER, "full").select("document_id", F.struct("cluster_key", entry.alias("e")).alias("c"))
-    every = each.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list("c"))).alias("clusters"))
+    by_key = lambda a, b: F.when(a["cluster_key"] < b["cluster_key"], -1).when(a["cluster_key"] > b["cluster_key"], 1).otherwise(0)
+    every = each.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list("c"), by_key)).alias("clusters"))
     named = clusters.select("document_id").distinct().join(every, "document_id", "left")
     empty = F.create_map().cast("map<string, struct<lines: array<string>, slots: map<string, string>>>")
     return named.select("document_id", F.to_json(F.struct(F.coalesce("clusters", empty).alias("clusters"), F.lit(1).alias("version"))).alias("profile"))

@@ -3,14 +3,14 @@
 Everything that is voted on comes from raw lines, so the evidence is computed up front. Only
 lines that can change or need a word (low confidence, non-ASCII, a declared pattern, a
 typographic twin) enter the chain; the others, nearly all, are never shuffled. Their pages
-meet the edits once, at the end, as a map from line number to text.
+meet the edits once, at the end, as a map from line number to text. Evidence and the chain's
+steps are cut to the shared folder: six result tables read them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from pagemend.operators import canon, disagree, errors, fold, lexicon, recover
 from pagemend.operators.cluster import CLUSTER, cluster_info, cluster_pages
 from pagemend.schema import CONF_GATE, DISAGREE_RATIO, MIN_CLEAN_SIBLINGS, NO_CANONICAL, NO_SUPPORT, lines_of
 
+from .cut import cut
+
 LINE_KEY = ["document_id", "page_ord", "line_no"]
 TYPOGRAPHIC = ("spacing", "punctuation", "case")
 CHAIN = [*LINE_KEY, "cluster_key", "page_number", "n_lines", "text", "conf"]
@@ -36,7 +38,6 @@ class Correction:
     unresolved_non_ascii: DataFrame
     protected: DataFrame
     error_events: DataFrame
-    kept: list[DataFrame] = field(default_factory=list)
 
     @property
     def lines(self) -> DataFrame:
@@ -45,10 +46,6 @@ class Correction:
         flat = self.pages.select("document_id", "page_ord", "page_number", "cluster_key", F.posexplode(zipped).alias("line_no", "z"))
         return flat.select("document_id", "page_ord", "page_number", "cluster_key", "line_no", "z.lines.text", "z.lines.conf", "z.lines.box", "z.corrected")
 
-    def release(self) -> None:
-        for df in self.kept:
-            df.unpersist()
-
 
 def edited(pages: DataFrame, edits: DataFrame, base) -> DataFrame:
     """pages with ``corrected``: base(line, number) unless edits (document_id, page_ord, line_no, new) have the line."""
@@ -75,12 +72,6 @@ def correct(
     profile: ``review.Profile``; known: lower-cased alphabetic tokens; error_patterns: what
     ``errors.compile_patterns`` gives. A null text or confidence counts as empty and 0.
     """
-    kept: list[DataFrame] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return kept[-1]
-
     clean = F.transform("lines", lambda x: F.struct(F.coalesce(x["text"], F.lit("")).alias("text"), F.coalesce(x["conf"], F.lit(0.0)).alias("conf"), x["box"].alias("box")))
     clustered = cluster_pages(pages.withColumn("lines", clean), *([formats] if formats else []))
     slots_p, lines_p = (profile.slots, profile.lines) if profile is not None else (None, None)
@@ -88,21 +79,21 @@ def correct(
     lines = lines_of(clustered).select(*CHAIN)
 
     # evidence
-    counts = keep(canon.text_counts(clustered, conf_gate))
+    counts = cut(canon.text_counts(clustered, conf_gate))
     slots, index = canon.slot_canon(clustered, plausible), canon.line_index(counts)
     if profile is not None:
         slots, index = canon.assert_slots(slots, clusters, slots_p), canon.assert_lines(index, clusters, lines_p)
-    words = lexicon.build_lexicon(clustered)
+    words = cut(lexicon.build_lexicon(clustered))
     canonical = disagree.canonical_counts(counts, clusters, lines_p)
-    contradicted = keep(disagree.disagreeing_texts(counts, canonical, disagree_ratio))
-    occurrences = keep(lines.join(contradicted, [*CLUSTER, "text"]))
+    contradicted = cut(disagree.disagreeing_texts(counts, canonical, disagree_ratio))
+    occurrences = cut(lines.join(contradicted, [*CLUSTER, "text"]))
     found = occurrences.filter(F.col("conf") >= conf_gate)
 
     # low-confidence lines: boilerplate, then lexicon
-    low = keep(lines.filter(F.col("conf") < conf_gate).join(clusters.select(*CLUSTER, "can_vote"), CLUSTER))
+    low = cut(lines.filter(F.col("conf") < conf_gate).join(clusters.select(*CLUSTER, "can_vote"), CLUSTER))
     placed = recover.recover(low.filter("can_vote"), slots, index, known)
     nothing = [F.lit(None).cast("string").alias(c) for c in ("boilerplate", "guard", "refused")]
-    placed = keep(placed.unionByName(low.filter("not can_vote").select(*low.columns, *nothing)))
+    placed = cut(placed.unionByName(low.filter("not can_vote").select(*low.columns, *nothing)))
     repaired = lexicon.repair(placed.filter("boilerplate is null").select(*LINE_KEY, "text"), words, known)
     repaired = repaired.withColumnRenamed("guard", "lex_guard")
     low2 = placed.join(repaired, LINE_KEY, "left")
@@ -119,7 +110,7 @@ def correct(
     if ascii_mode == fold.OFF:
         work = work.withColumn("ascii", F.lit(None).cast("string")).withColumn("unresolved", F.lit(False))
     else:
-        work = keep(work)
+        work = cut(work)
         texts = work.filter(has_non_ascii("s2")).select(*CLUSTER, F.col("s2").alias("text")).distinct()
         plain = fold.fold_texts(texts, counts, ascii_mode).select(*CLUSTER, F.col("text").alias("s2"), "plain", "own")
         work = work.join(plain, [*CLUSTER, "s2"], "left")
@@ -145,7 +136,7 @@ def correct(
         work = work.withColumn("typography", F.when(~F.col("fixed4") & (F.col("__typ") != F.col("s4")), F.col("__typ")))
     else:
         work = work.withColumn("typography", F.lit(None).cast("string"))
-    work = keep(work.withColumn("final", F.coalesce("typography", "s4")).withColumn("fixed", F.col("fixed4") | F.col("typography").isNotNull()))
+    work = cut(work.withColumn("final", F.coalesce("typography", "s4")).withColumn("fixed", F.col("fixed4") | F.col("typography").isNotNull()))
 
     at = ["document_id", "page_ord", "page_number", "line_no"]
     kinds = (("boilerplate", "boilerplate"), ("lexicon", "repaired"), ("ascii", "ascii"), ("errorfix", "errorfix"), ("typography", "typography"))
@@ -169,5 +160,4 @@ def correct(
         unresolved_non_ascii=work.filter("unresolved").select(*at, "conf", F.col("s2").alias("text")),
         protected=protected,
         error_events=work.select(*at, "conf", F.col("s3").alias("text"), F.explode("events").alias("e")).filter("not e.fixed").select(*at, "conf", "text", "e.pattern", "e.detail"),
-        kept=kept,
     )

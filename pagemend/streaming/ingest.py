@@ -26,6 +26,5 @@ def correct_stream(dumps: DataFrame, sink: str, checkpoint: str, profile=None, *
     def each(batch: DataFrame, number: int) -> None:
         out = correct(dumps_to_pages(batch), profile=profile, **options)
         out.lines.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        out.release()
 
     return dumps.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -11,14 +11,10 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "2")
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
-        # tiny inputs: what plans cost is compiling and scheduling them
-        .config("spark.sql.codegen.wholeStage", "false")
-        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
-        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

@@ -74,9 +74,7 @@ DOCUMENTS = {
 
 @pytest.fixture(scope="module")
 def out(spark):
-    done = run(spark, DOCUMENTS)
-    yield done
-    done.done.release()
+    return run(spark, DOCUMENTS)
 
 
 def test_small_cluster_refuses(out):
@@ -176,7 +174,6 @@ def test_options(spark):
     assert sorted(k for _, _, _, k in got.disagreements["typography"]) == ["case", "punctuation", "punctuation", "punctuation"]
     assert got.text["prefix"][99][1] == "SEKU" and ("known", "SEKU", "SEGU") in got.protected["prefix"]
     assert got.text["lexicon"][1][-1] == "SEKU" and got.protected["lexicon"] == [("known", "SEKU", "SEGU")]
-    got.done.release()
 
 
 def test_repartitioning_changes_nothing(spark, out):
@@ -188,7 +185,6 @@ def test_repartitioning_changes_nothing(spark, out):
     for r in again.pages.collect():
         got[r.document_id][r.page_number] = list(r.corrected)
     assert got == {d: out.text[d] for d in some}
-    again.release()
 
 
 def test_near_misses(spark):

@@ -112,9 +112,7 @@ def test_rules_and_warnings(spark, tmp_path):
 def done(spark):
     doc = [(i, [(BRAND, 0.99), (f"C/O {i}", 0.99), ("SHIPMENT DETAILS", 0.99), ("body (x) it's", 0.85 if i == 2 else 0.99), (FOOTER, 0.99, (0, 10, 50, 20))]) for i in range(1, 7)]
     doc.append((99, [(BRAND, 0.99), ("C/O 1", 0.60), ("SHIPMENT DETAILS", 0.99), ("Zürich", 0.99), ("41-- #--- # - - 058", 0.60)]))
-    out = correct(pages(spark, doc))
-    yield out
-    out.release()
+    return correct(pages(spark, doc))
 
 
 def overlay(spark, *given):
@@ -169,8 +167,6 @@ def test_profile_round_trip(spark, done, tmp_path):
     plain, helped = correct(alone), correct(alone, profile=loaded)
     assert plain.changes.count() == 0 and rows(helped.changes, "kind", "new") == [("boilerplate", FOOTER)]
     assert rows(helped.clusters, "can_vote") == [(True,)]
-    plain.release()
-    helped.release()
 
 
 def test_profile_never_learns_a_misread(spark):
@@ -269,4 +265,3 @@ def test_null_cells(spark):
     doc = spark.createDataFrame([("d", 0, 1, [{"text": None, "conf": None, "box": None}, {"text": "x", "conf": 0.99, "box": None}])], pages(spark, []).schema)
     out = correct(doc)
     assert [list(r.corrected) for r in out.pages.collect()] == [["", "x"]] and lines_of(doc).count() == 2
-    out.release()
