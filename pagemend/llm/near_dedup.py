@@ -9,12 +9,15 @@
 3. A list doesn't give its pairs. Each member is compared with the list's hub only (the
    member whose values are the most common): linear in the list. Union-sketch estimates
    drop hopeless comparisons, exact Jaccard on full sets decides the rest.
-4. What hubs may miss is found exactly: if x is not linked to hub h but is to y, then
-   x and y share an element of x ^ h and y ^ h (else J(x, y) <= J(x, h)), and at least
-   t * |x | h| - |x & h| of them. So differences from hubs are listed by the same
-   rarest-first rule, lists within one component are done, and the rest are compared,
-   pair by pair behind a test of sizes and places that passes few, or by hubs of their
-   own in another round while there are too many to test.
+4. What hubs may miss is found exactly. Of two members near one hub: if x is not linked to
+   hub h but is to y, then x and y share an element of x ^ h and y ^ h (else J(x, y) <=
+   J(x, h)), and at least t * |x | h| - |x & h| of them. So differences from hubs are
+   listed by the same rarest-first rule, lists within one component are done, and the rest
+   are compared pair by pair behind a test of sizes and places that passes few.
+   A member that is not near its list's hub is paired with every member of that list in
+   another component; sketches that share c values go on to the exact test.
+   While there are very many such tests, further hubs link members first, as linked members
+   of one component need no test; hubs only add links, and what is left is tested, dealt in parts.
 5. Links give components; a document's component is the least doc_id reachable.
 
 Full sets are rebuilt only for documents in some comparison. Nothing is capped.
@@ -47,8 +50,11 @@ NEAR_ESTIMATE = 0.2
 CACHE_WORDS = 100_000
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Up to so many tests of two numbers the lists that hubs left are joined with themselves.
+#: Above so many tests further hubs link members before the lists are joined with themselves.
 DIRECT_TESTS = 50_000_000
+#: A list's join with itself is dealt over parts of about so many tests, at most MOST_PARTS.
+PART_TESTS = 1_000_000
+MOST_PARTS = 1000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -167,11 +173,10 @@ def _ranked(rows: DataFrame, key: list[str], scope: list[str], value: str) -> Da
     return common.withColumn("at", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy(*key)))
 
 
-def _star(lists: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
-    """(x, h): each member of a list with the candidate of the greatest w (ties to the least id)."""
+def _with_hub(lists: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
+    """Members of lists with h, the list's candidate of the greatest w (ties to the least id); the hub itself is left out."""
     hubs = candidates.groupBy(*key).agg(F.max(F.struct("w", (-F.col("x")).alias("neg"))).alias("hub"))
-    pairs = lists.join(hubs.select(*key, (-F.col("hub.neg")).alias("h")), key).filter("x <> h")
-    return pairs.select("x", "h").distinct()
+    return lists.join(hubs.select(*key, (-F.col("hub.neg")).alias("h")), key).filter("x <> h")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,78 +192,141 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return cut(wanted.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("t")).mapInArrow(_sets(width), "node long, hashes binary"))
 
 
-def _first_pairs(reps: DataFrame, percent: int, k: int) -> DataFrame:
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("h").alias("node")))
+
+
+def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    left = pairs.join(reps.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
+    return left.join(reps.select(F.col("node").alias("h"), F.col("n").alias("nh"), F.col("sketch").alias("sh")), "h")
+
+
+def _least_shared(n, percent: int, c: int):
+    """How many values sketches share at the similarity if the smaller set has n."""
+    return F.least(F.lit(c), F.ceil(n * percent / 100))
+
+
+def _first_pairs(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The lists (x, n, w, v, band, h) without their hubs, and their pairs (x, h) that may be near."""
     t = percent / 100
-    c = shared_values(k, t)
     kept = F.size("sketch")
-    need = F.least(F.lit(c), F.ceil(F.col("n") * percent / 100))
+    need = _least_shared(F.col("n"), percent, shared_values(k, t))
     values = reps.select(F.col("node").alias("x"), "n", kept.alias("size"), need.alias("need"), F.explode("sketch").alias("v"))
     central = F.sum(F.log("df")).over(Window.partitionBy("x", "n")) / F.col("size")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t)).cast("int")
     ranked = _ranked(values, ["x", "n"], [], "v").withColumn("w", central).withColumn("band", F.explode(F.array(band, band + 1)))
-    ranked = cut(ranked.select("x", "v", "band", "w", (F.col("at") <= F.col("size") - F.col("need") + 1).alias("listed")))
+    ranked = cut(ranked.select("x", "n", "v", "band", "w", (F.col("at") <= F.col("size") - F.col("need") + 1).alias("listed")))
     # a hub may hold the value beyond its listed ones, so that the lists of a group agree on one hub
-    lists = ranked.filter("listed")
-    several = lists.groupBy("v", "band").agg(F.count("*").alias("m")).filter("m > 1").select("v", "band")
-    pairs = _star(lists.join(several, ["v", "band"]), ranked, ["v", "band"])
-    sk = reps.select("node", "sketch")
-    both = pairs.join(sk.select(F.col("node").alias("x"), F.col("sketch").alias("sx")), "x").join(sk.select(F.col("node").alias("h"), F.col("sketch").alias("sh")), "h")
+    listed = ranked.filter("listed").drop("listed")
+    several = listed.groupBy("v", "band").agg(F.count("*").alias("m")).filter("m > 1").select("v", "band")
+    lists = cut(_with_hub(listed.join(several, ["v", "band"]), ranked, ["v", "band"]))
+    both = _with_sketches(lists.select("x", "h").distinct(), reps)
     union = F.slice(F.array_sort(F.array_union("sx", "sh")), 1, k)
     estimate = F.size(F.array_intersect(F.array_intersect("sx", "sh"), union)) / F.size(union)
-    return cut(both.filter(estimate >= NEAR_ESTIMATE).select("x", "h").distinct())
+    return lists, cut(both.filter(estimate >= NEAR_ESTIMATE).select("x", "h").distinct())
 
 
-def _left_over(found: DataFrame, comps: DataFrame) -> DataFrame:
-    """Lists of shared differences (h, v) that hold several components, one of them unlinked to h."""
+def _differences(found: DataFrame) -> DataFrame:
+    """Lists (h, v) of the differences from a hub; a member is open if it is not linked to h."""
     open_hubs = found.filter("near and not link").select("h").distinct()
     rows = found.filter("near").join(open_hubs, "h", "left_semi")
-    values = rows.select("x", "h", "link", "need", "own", "hub", F.size("diff").alias("size"), F.explode("diff").alias("v"))
+    values = rows.select("x", "h", (~F.col("link")).alias("open"), "need", "own", "hub", F.size("diff").alias("size"), F.explode("diff").alias("v"))
     short = _ranked(values, ["x", "h"], ["h"], "v").filter(F.col("at") <= F.col("size") - F.greatest("need", F.lit(1)) + 1)
-    named = short.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    lists = named.groupBy("h", "v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.expr("if(link, 0, 1)")).alias("n_open"), F.count("*").alias("n_all"))
-    several = lists.filter("c0 < c1 and n_open > 0").select("h", "v", "n_open", "n_all")
-    return cut(named.join(several, ["h", "v"]).select("x", "h", "v", "at", "link", "size", "own", "hub", "comp", "n_open", "n_all"))
+    return cut(short.select("x", "h", "v", "at", "open", "size", "own", "hub", (-F.col("size")).alias("w")))
+
+
+def _far(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists (v, band); a member is open if it is not near the list's hub."""
+    near = found.filter("near").select("x", "h", F.lit(True).alias("near"))
+    return lists.join(near, ["x", "h"], "left").select("x", "n", "w", "v", "band", F.col("near").isNull().alias("open"))
+
+
+def _rest(lists: DataFrame, comps: DataFrame, key: list[str]) -> DataFrame:
+    """Lists with an open member and a member of another component; ``tests`` counts such pairs, ``parts`` deals them."""
+    named = lists.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    each = named.groupBy(*key, "comp").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count("*").alias("a"))
+    several = each.groupBy(*key).agg((F.sum("o") * F.sum("a") - F.sum(F.col("o") * F.col("a"))).alias("tests")).filter("tests > 0")
+    parts = F.least(F.ceil(F.col("tests") / PART_TESTS), F.lit(MOST_PARTS)).cast("int")
+    return cut(named.join(several, key).withColumn("parts", parts))
+
+
+def _joined(rest: DataFrame, key: list[str], test) -> DataFrame:
+    """Pairs (x, h) of an open and any member of one list that are of two components and pass the test."""
+    a = rest.filter("open").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).alias("a")
+    b = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.comp") != F.col("b.comp")) & test
+    for c in (*key, "part"):
+        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return a.join(b, on).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("h")).distinct()
 
 
 def _direct(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the lists that can still be at the similarity.
+    """Pairs of the lists of differences that can still be at the similarity.
 
     With o shared differences, |x & y| = |h| - |h - x| - |h - y| + o, so the similarity sets
     the least o; the first shared value, at places i and j, leaves 1 + min of what follows.
     """
-    a, b = rest.filter("not link").alias("a"), rest.alias("b")
     both = F.col("a.size") + F.col("b.size")
     own = F.col("a.own") + F.col("b.own")
     least = percent * (F.col("a.hub") + own) - 100 * F.col("a.hub") + 100 * (both - own)
     most = 1 + F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.comp") != F.col("b.comp")) & (most * (100 + percent) >= least)
-    return a.join(b, on).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("h")).distinct()
+    return _joined(rest, ["h", "v"], most * (100 + percent) >= least)
+
+
+def _direct_far(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the lists of values whose sizes can be at the similarity."""
+    sizes = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    return _joined(rest, ["v", "band"], sizes)
 
 
 def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """(a, b) links that give the components of all pairs at the similarity."""
-    pairs = _first_pairs(reps, percent, k)
-    nodes = lambda p: p.select(F.col("x").alias("node")).unionByName(p.select(F.col("h").alias("node")))
-    sets = _full_sets(docs, nodes(pairs), width)
-    links, done = None, None
-    while True:
-        found = _links(pairs, sets, percent)
-        new = found.filter("link").select(F.col("x").alias("a"), F.col("h").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        done = pairs if done is None else done.unionByName(pairs)
-        rest = _left_over(found, connected(links))
-        n_open = rest.select("h", "v", "n_open", "n_all").distinct().agg(F.sum(F.col("n_open") * F.col("n_all"))).first()[0] or 0
-        if not n_open:
-            return links
-        if n_open <= DIRECT_TESTS:
-            last = _links(cut(_direct(rest, percent)), sets, percent)
-            return links.unionByName(last.filter("link").select(F.col("x").alias("a"), F.col("h").alias("b")))
-        named = rest.withColumnRenamed("h", "from_hub").withColumn("w", -F.col("size"))
-        star = _star(named, named, ["from_hub", "v"])
+    lists, pairs = _first_pairs(reps, percent, k)
+    sets = _full_sets(docs, _nodes(pairs), width)
+    found, done = _links(pairs, sets, percent), pairs
+    as_links = lambda f: f.filter("link").select(F.col("x").alias("a"), F.col("h").alias("b"))
+    links = as_links(found)
+    comps = connected(links)
+    c = shared_values(k, percent / 100)
+
+    def alike(p):
+        shared = F.size(F.array_intersect("sx", "sh"))
+        return _with_sketches(p, reps).filter(shared >= _least_shared(F.least("nx", "nh"), percent, c)).select("x", "h")
+
+    def new_links(p):
+        nonlocal sets, links, comps, done
         old = done.unionByName(done.select(F.col("h").alias("x"), F.col("x").alias("h")))
-        pairs = cut(star.join(old, ["x", "h"], "left_anti"))
-        if pairs.isEmpty():
-            return links
+        p = cut(p.join(old, ["x", "h"], "left_anti"))
+        if p.isEmpty():
+            return False
+        more = cut(_nodes(p).distinct().join(sets, "node", "left_anti"))
+        if not more.isEmpty():
+            sets = sets.unionByName(_full_sets(docs, more, width))
+        new = as_links(_links(p, sets, percent))
+        done = done.unionByName(p)
+        if new.isEmpty():
+            return False
+        links = links.unionByName(new)
+        comps = connected(links)
+        return True
+
+    same = lambda p: p
+    for members, key, direct, likely in ((_differences(found), ["h", "v"], _direct, same), (_far(lists, found), ["v", "band"], _direct_far, alike)):
+        before = math.inf
+        while True:
+            rest = _rest(members, comps, key)
+            n_tests = rest.select(*key, "tests").distinct().agg(F.sum("tests")).first()[0] or 0
+            if DIRECT_TESTS < n_tests <= before / 2:
+                before = n_tests
+                # hubs of the open lists; they only add links, so no pair is left untested for them
+                named = rest.withColumnRenamed("h", "from_hub") if "h" in key else rest
+                star = _with_hub(named, named.filter("open"), ["from_hub" if name == "h" else name for name in key])
+                if new_links(likely(star.select("x", "h").distinct())):
+                    continue
+            if n_tests:
+                new_links(likely(direct(rest, percent)))
+            break
+    return links
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K) -> DataFrame:

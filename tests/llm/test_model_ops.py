@@ -271,6 +271,30 @@ def test_open_hub_lists_go_on_in_rounds(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == brute_groups(rows, 85)
 
 
+def recombined(seed):
+    """Long documents of many shared passages, and near copies of two passages each."""
+    rng = np.random.default_rng(seed)
+    passages = [[f"p{i}w{k}" for k in range(60)] for i in range(16)]
+    rows = [(1000 + i, " ".join(w for j in rng.permutation(16)[:8] for w in passages[j])) for i in range(60)]
+    for i in range(30):
+        a, b = rng.permutation(16)[:2]
+        words = passages[a] + passages[b]
+        near = list(words)
+        near[rng.integers(0, len(near))] = f"y{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "tests"), [(1, None)])
+def test_copies_far_from_every_hub(spark, monkeypatch, seed, tests):
+    if tests is not None:
+        monkeypatch.setattr(near_dedup, "DIRECT_TESTS", tests)
+        monkeypatch.setattr(near_dedup, "PART_TESTS", 50, raising=False)
+    rows = recombined(seed)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(rows, 85)
+
+
 # --- media -------------------------------------------------------------------
 
 
