@@ -285,7 +285,7 @@ def recombined(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "tests"), [(1, None)])
+@pytest.mark.parametrize(("seed", "tests"), [(1, None), (2, 0)])
 def test_copies_far_from_every_hub(spark, monkeypatch, seed, tests):
     if tests is not None:
         monkeypatch.setattr(near_dedup, "DIRECT_TESTS", tests)
