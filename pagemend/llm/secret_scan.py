@@ -1,9 +1,12 @@
 """Secret scans: pattern kinds plus a token-efficiency test for random strings.
 
 Base kinds are regular expressions. The method adds spans of kind ``random``: runs of
-key characters that a byte-pair vocabulary can't compress, i.e. few characters a token,
-after known digests (hex of the usual lengths), UUIDs, and identifiers (words joined by
-separators, decimal numbers) are excluded. All offsets are code points.
+key characters that a byte-pair vocabulary can't compress, i.e. few characters a token.
+A run is tested as a whole, and else in the stretches between parts (of separators) that
+the vocabulary does compress, so words before a key don't hide it. Known digests (hex of
+the usual lengths) and UUIDs are excluded, and identifiers: groups of letters or digits
+that are each compressed, one token, or a number of less than 20 digits. All offsets are
+code points.
 
 Defined cases: null text counts as empty; overlapping spans of different kinds all stay;
 rows that repeat give repeated rows; an empty table gives no rows.
@@ -30,6 +33,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/+=-]+(?:[A-Za-z]+|[0-9]+))*[_/+=-]*\Z|[_/+=-]*\Z")
+PART = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 LEAST_RUN = 20
 MAX_CHARS_PER_TOKEN = 2.0
 #: A run longer than this is encoded in pieces of this size, so that time stays linear.
@@ -58,14 +62,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, enc, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
+    def tokens(run: str) -> int:
+        return sum(len(enc.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+    def known(run: str) -> bool:
+        return bool(DIGEST.match(run) or UUID.match(run))
+
+    def random(run: str) -> bool:
+        return len(run) >= LEAST_RUN and not known(run) and len(run) <= most * tokens(run)
+
+    def named(part: str) -> bool:
+        return (part.isdigit() and len(part) < LEAST_RUN) or (n := tokens(part)) == 1 or len(part) > most * n
+
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if DIGEST.match(run) or UUID.match(run) or IDENTIFIER.match(run):
+        if known(run):
             continue
-        tokens = sum(len(enc.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
-        if len(run) / tokens <= most:
+        parts = list(PART.finditer(run))
+        if random(run) and not (IDENTIFIER.match(run) and all(named(p[0]) for p in parts)):
             out.append((m.start(), 3, m.end()))
+            continue
+        stretch: list[re.Match] = []
+        for p in [*parts, None]:
+            if p is not None and not known(p[0]) and len(p[0]) <= most * tokens(p[0]):
+                stretch.append(p)
+                continue
+            if stretch:
+                spans = [(stretch[0].start(), stretch[-1].end())]
+                if not random(run[spans[0][0] : spans[0][1]]):
+                    spans = [q.span() for q in stretch]
+                whole = IDENTIFIER.match(run) and all(named(q[0]) for q in stretch)
+                out += [(m.start() + i, 3, m.start() + j) for i, j in spans if not whole and random(run[i:j])]
+            stretch = []
     return out
 
 

@@ -102,6 +102,21 @@ def test_secret_rules():
     assert len(secret_scan.random_spans("x q8Zr2LmK9vTb4XcW7nYp1sDf y", enc)) == 1
 
 
+def test_random_letters_and_keys_behind_words():
+    enc = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(4)
+    letters = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    for _ in range(50):
+        run = "".join(rng.choice(letters, 32))
+        assert secret_scan.random_spans(f"x {run} y", enc) == [(2, 3, 34)]
+        key = "".join(rng.choice([*letters, *"0123456789"], 24))
+        text = f"https://example.com/customer/profile/settings/{key}"
+        (span,) = secret_scan.random_spans(text, enc)
+        assert span[0] <= len(text) - 24 and span[2] == len(text)
+    for known in ("customer/profile/settings/account/history", "2024-01-02_12-30-45-000001", "https://example.com/objects/d41d8cd98f00b204e9800998ecf8427e/customer/profile/settings/documents/information", "items/customer/profile/information/123e4567-e89b-12d3-a456-426614174000/documents/customer/information/settings"):
+        assert secret_scan.random_spans(known, enc) == [], known
+
+
 def test_token_store(docs, empty):
     from tokenizers import Tokenizer
 
