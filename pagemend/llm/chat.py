@@ -117,3 +117,9 @@ def parse_turns(formatted):
             unescape(t.substr(F.length(head(t)) + 3, F.length(t))).alias("text"),
         ),
     )
+
+
+def loss_text(formatted, loss_spans):
+    """The texts under the loss mask, cut out of the formatted conversation and unescaped."""
+    cut_out = lambda s: formatted.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(cut_out(s))), "")

@@ -60,7 +60,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.format_trees(chat.chain_nodes(rows.unionByName(extra)))
     turns = formatted.withColumn("turns", chat.parse_turns(F.col("formatted")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
     return turns.select(
         F.col("tree").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemend.llm import chat, line_dedup, mixing, secret_scan, token_store
+from pagemend.llm import chat, line_dedup, mixing, queries, secret_scan, token_store
 
 LINE = "A line long enough to count"
 ROWS = [
@@ -207,3 +207,16 @@ def test_conversation_nulls(spark):
     rows = spark.createDataFrame([(None, 1, "user", None), (None, None, None, "q"), (2, 0, "user", "a"), (2, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
     got = {r.tree: r.n_turns for r in chat.format_trees(chat.chain_nodes(rows)).collect()}
     assert got == {None: 2, 2: 2}
+
+
+def test_chat_query_reads_the_loss_mask(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "a #1"), (1, 1, "assistant", "é\\ <b> 😀"), (1, 2, "user", "c"), (1, 3, "assistant", "\\\\# d"), (2, 0, "user", "e")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    said = lambda: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in queries.op9_chat_format(spark, str(tmp_path)).collect()}
+    whole = rows[1][3] + rows[3][3]
+    right = said()
+    assert right[1] == (len(whole), hashlib.sha256(whole.encode()).hexdigest())
+    assert right[2] == (0, hashlib.sha256(b"").hexdigest())
+    formatted = chat.format_trees
+    monkeypatch.setattr(chat, "format_trees", lambda nodes: formatted(nodes).withColumn("loss_spans", F.slice("loss_spans", 1, 1)))
+    assert said()[1] == (len(rows[1][3]), hashlib.sha256(rows[1][3].encode()).hexdigest())
