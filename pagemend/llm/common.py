@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: White space of all text contracts: space and U+0009..U+000D.
 NONSPACE = "[^\\x20\\x09-\\x0D]+"
-DEFAULT_SHARED = "file:///tmp/checkpoints/pagemend"
 
 
 def tune(spark: SparkSession) -> None:
@@ -38,21 +38,63 @@ def settle() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode alone, where one machine is all, a folder of our own if unset."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file:///tmp/checkpoints/{sc.applicationId}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
     return folder
 
 
+#: Files of the tables that are cut inside each open ``scratch``, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which Spark removes once unused.
+    """Cut the lineage with a reliable checkpoint in the shared folder.
 
     Only narrow tables (ids, hashes, sketches, counts) are cut; texts never are.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _OPEN:
+        _OPEN[-1] += _files_of(out)
+    return out
+
+
+def _files_of(df: DataFrame) -> list[str]:
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return [file.get()] if file.isDefined() else []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """``with scratch(spark) as keep``: tables cut inside are deleted at the end, but for what ``keep`` has cut."""
+    _OPEN.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        shared_folder(spark)
+        out = df.checkpoint(eager=True)
+        if len(_OPEN) > 1:
+            _OPEN[-2] += _files_of(out)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for file in _OPEN.pop():
+            delete_uri(spark, file)
+
+
+def reserved(table: DataFrame, *prefixes: str) -> None:
+    """ValueError if a column of the table begins with a name that the operator uses for its own."""
+    taken = [c for c in table.columns if c.lower().startswith(tuple(prefixes))]
+    if taken:
+        raise ValueError(f"columns {taken} clash with the operator's own; rename them first")
 
 
 def scratch_uri(spark: SparkSession, name: str) -> str:

@@ -4,15 +4,15 @@ Keys are hashed to 128 bits: one half picks the shard and drives the perfect has
 other half is the fingerprint. Counts a key come from a map-side combined aggregate, so
 a line found in a third of all documents is one row a task before any shuffle. Each
 shard's perfect hash is built with numpy (levels of bit arrays; keys that collide go one
-level down), and its slots index arrays of fingerprints, counts and last holders. Only
-keys found in ``min_docs`` documents are indexed, since no other can lose a line; a probe
-of any other key fails the fingerprint. Documents then send 24-byte probes to the shards,
-split by document into bounded groups, and get back the keys that they lose; no line text
-is joined or shuffled.
+level down), and its slots index arrays of fingerprints, counts and last holders of all
+distinct lines of enough characters. Documents then send 24-byte probes to the shards,
+dealt into bounded groups, the count array tells which keys are common, and the keys that
+they lose come back; no line text is joined or shuffled.
 
 Defined cases: null or empty text is one empty line; a null doc_id ranks below every id;
-rows that repeat a doc_id are documents of their own and count each; an empty table gives
-no rows.
+rows that repeat a doc_id are documents of their own and count each (all of them that have
+the greatest doc_id keep the line); an empty table gives no rows; input columns that begin
+with ``__line`` raise ValueError.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, settle, tune
+from .common import cut, reserved, scratch, settle, tune
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -147,12 +147,17 @@ def _drop_keys(min_docs: int):
 def lost_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(k, lost): for each document that loses lines, the 16-byte hashes of the keys it loses."""
     tune(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_lost(docs, min_chars, min_docs))
+
+
+def _lost(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     raw = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.col("text").cast("binary").alias("t"))
     probes = cut(raw.mapInArrow(_explode_keys(min_chars), "k long, h1 long, h2 long"))
     counted = probes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("k").alias("last"))
     # the shard comes from both halves: keys whose first halves agree would have to meet in one shard to clash
-    shared = cut(counted.filter(F.col("n") >= min_docs))
-    n_keys = shared.count()
+    lines = cut(counted)
+    n_keys = lines.count()
     n_shards = max(1, -(-n_keys // KEYS_A_SHARD))
     shard = F.pmod(F.xxhash64("h1", "h2"), F.lit(n_shards)).cast("int").alias("shard")
     names = ["bits", "sizes", "prints", "counts", "lasts"]
@@ -161,7 +166,7 @@ def lost_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
         arrays = [pdf[c].to_numpy(np.int64) for c in ("h1", "h2", "n", "last")]
         return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0])} | pack_shard(*arrays)])
 
-    index = cut(shared.select(shard, "*").groupBy("shard").applyInPandas(build, "shard int, " + ", ".join(f"{n} binary" for n in names)))
+    index = cut(lines.select(shard, "*").groupBy("shard").applyInPandas(build, "shard int, " + ", ".join(f"{n} binary" for n in names)))
     routed = probes.select(shard, "*")
     load = routed.groupBy("shard").agg(F.ceil(F.count("*") / PROBES_A_GROUP).cast("int").alias("groups"))  # one row a shard
     load = cut(load)
@@ -209,9 +214,10 @@ def _digest_only(texts: pa.Array, lost: pa.Array) -> pa.Array:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, texts: bool = True) -> DataFrame:
     """docs with a struct column ``__lines`` (n_lines, n_dropped, kept, sha256); ``kept`` only with texts=True."""
+    reserved(docs, "__line")
     lost = lost_keys(docs, min_chars, min_docs)
-    keyed = docs.withColumn("__k", F.coalesce("doc_id", F.lit(NULL_ID)))
-    joined = keyed.join(lost.withColumnRenamed("lost", "__lost").withColumnRenamed("k", "__k"), "__k", "left")
+    keyed = docs.withColumn("__line_k", F.coalesce("doc_id", F.lit(NULL_ID)))
+    joined = keyed.join(lost.select(F.col("k").alias("__line_k"), F.col("lost").alias("__line_lost")), "__line_k", "left")
     kind = "struct<n_lines: long, n_dropped: long, " + ("kept: binary, " if texts else "") + "sha256: string>"
     rewrite = F.arrow_udf(_rewrite if texts else _digest_only, kind)
-    return joined.withColumn("__lines", rewrite(F.col("text").cast("binary"), F.col("__lost"))).drop("__k", "__lost")
+    return joined.withColumn("__lines", rewrite(F.col("text").cast("binary"), F.col("__line_lost"))).drop("__line_k", "__line_lost").select(*[F.col(f"`{c}`") for c in docs.columns], "__lines")

@@ -3,8 +3,10 @@
 1. Each document's set of word shingles is hashed; its k smallest hashes are the sketch.
    Documents with equal sets form one class, and only one of each class goes on.
 2. Inverted lists of retained values. Two sets at similarity t share at least c of k
-   retained values (but for a chance under 1e-8), so a sketch needs to list only its
-   k - c + 1 rarest values: values of passages that many documents share rarely count.
+   retained values (but for a chance under ``MISS``, and far under it for closer sets), so a
+   sketch needs to list only its k - c + 1 rarest values. With 48 values and 25 or 29 of them
+   shared, a passage that many documents have is listed only where it makes up more than half
+   of a sketch, and such documents are near each other, so that few are left to step 4.
    Lists are split by size class, as sets at t differ in size by at most 1 / t.
 3. A list doesn't give its pairs. Each member is compared with the list's hub only (the
    member whose values are the most common): linear in the list. Union-sketch estimates
@@ -20,7 +22,10 @@
    of one component need no test; hubs only add links, and what is left is tested, dealt in parts.
 5. Links give components; a document's component is the least doc_id reachable.
 
-Full sets are rebuilt only for documents in some comparison. Nothing is capped.
+Full sets are rebuilt only for documents in some comparison. Nothing is capped: but for
+``MISS`` no link is lost. The price is the second kind of test in step 4: many documents that
+are made of the same few passages, in shares of more than half, and are far from their hub
+and from each other are compared pair by pair.
 
 Defined cases: null, empty or wordless text has an empty set and no links; fewer words
 than a shingle are one shingle; rows with a null doc_id are never linked, have a null
@@ -38,13 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, settle, tune
+from .common import cut, scratch, settle, tune
 from .components import connected
 
 WIDTH = 5
 PERCENT = 80
-K = 32
-MISS = 1e-8
+K = 48
+#: The chance that two sets exactly at the similarity share too few retained values to meet.
+MISS = 1e-5
 NEAR = 0.4
 NEAR_ESTIMATE = 0.2
 CACHE_WORDS = 100_000
@@ -332,6 +338,11 @@ def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: in
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a row of docs."""
     tune(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_groups(docs, width, percent, k))
+
+
+def _groups(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     base = cut(docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(_sketches(width, k), "doc_id long, n long, f1 long, f2 long, sketch array<long>"))
     classes = cut(base.filter("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     rows = base.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
