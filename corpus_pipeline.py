@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. The last gives the piece ids of every document of the mix.
+
+Defined cases, stage by stage: a document with null or empty text isn't toxic, has one empty
+line that isn't dropped, is near nothing, has size 0 in the mix and so is taken no more often
+than its source's target asks, and has no pieces; rows with a null doc_id are kept by
+near-dedup; rows that repeat a doc_id are documents of their own in all stages but near-dedup,
+which keeps or drops them together; without labels nothing is toxic; an empty table gives an
+empty result. Columns beside those of documents pass through.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemend.llm import line_dedup, mixing, near_dedup, pieces, toxicity
-from pagemend.llm.common import scratch_uri
+from pagemend.llm.common import delete_uri, scratch_uri
 from pagemend.llm.queries import tokenizer_file
 
 
@@ -59,12 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i + 1 == len(STAGES):
-            return out
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
         where = scratch_uri(spark, f"stage-{name}")
-        out.write.parquet(where)
-        docs = spark.read.parquet(where)
-    return docs
+        stage(spark, docs, sf_dir).write.parquet(where)
+        if read:
+            delete_uri(spark, read)  # what the stage has read
+        docs, read = spark.read.parquet(where), where
+    return STAGES[-1][1](spark, docs, sf_dir)  # reads the last folder, which therefore stays
