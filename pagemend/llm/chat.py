@@ -14,6 +14,10 @@ and the loss mask lists the [start, end) code points of assistant texts.
 
 Defined cases: null text and null role count as empty; null ids of trees form one tree
 with a null id; equal turns are ordered by role, then text; an empty table gives no rows.
+In a forest, rows with a null node take no part; of rows that repeat a (tree, node) the one
+with the least (parent, score, role, text) stays, nulls first; a parent that isn't a node of
+the tree counts as null, so its children are roots; nodes on a cycle of parents, and all
+below them, have no root and are on no path. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,26 +57,38 @@ def chain_nodes(conversations: DataFrame) -> DataFrame:
     )
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) for every node on the path from each leaf to its root; up = 0 at the leaf."""
-    links = cut(nodes.select("tree", "node", "parent"))
-    same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
-    inner = links.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = links.alias("n").join(inner.alias("p"), same("n", "p") & (F.col("n.node") == F.col("p.node")), "left_anti")
-    reach = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump, step = links.filter("parent is not null").select("tree", "node", F.col("parent").alias("anc")), 1
-    while True:
-        more = reach.alias("r").join(jump.alias("j"), same("r", "j") & (F.col("r.node") == F.col("j.node")))
-        reach = cut(reach.unionByName(more.select("r.tree", "r.leaf", F.col("j.anc").alias("node"), (F.col("r.up") + step).alias("up"))))
-        far = jump.alias("a").join(jump.alias("b"), same("a", "b") & (F.col("a.anc") == F.col("b.node")))
-        jump, step = cut(far.select("a.tree", "a.node", F.col("b.anc").alias("anc"))), step * 2
-        if jump.isEmpty():
-            return reach
-
-
-def ranked_branches(nodes: DataFrame, reach: DataFrame, branches: int | None) -> DataFrame:
+def single_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes with one row each, null texts and roles as empty."""
+    own = Window.partitionBy("tree", "node").orderBy("parent", "score", "role", "text")
+    named = nodes.filter("node is not null").select("tree", "node", "parent", "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return named.withColumn("no", F.row_number().over(own)).filter("no = 1").drop("no")
+
+
+def _same(a: str, b: str, left: str = "node", right: str = "node"):
+    return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{left}") == F.col(f"{b}.{right}"))
+
+
+def paths(links: DataFrame) -> DataFrame:
+    """(tree, node, parent, one row a node) -> (tree, leaf, node, up) for every node on the path from each leaf to its root; up = 0 at the leaf."""
+    parents = links.filter("parent is not null").alias("n").join(links.alias("p"), _same("n", "p", "parent"), "left_semi")
+    jumps = [cut(parents.select("tree", "node", F.col("parent").alias("anc")))]
+    n = jumps[0].count()
+    # the 2**k-th ancestors; whoever still has one when 2**k exceeds all links hangs on a cycle
+    while not jumps[-1].isEmpty() and 1 << (len(jumps) - 1) <= n:
+        far = jumps[-1].alias("a").join(jumps[-1].alias("b"), _same("a", "b", "anc"))
+        jumps.append(cut(far.select("a.tree", "a.node", F.col("b.anc").alias("anc"))))
+    inner = jumps[0].select("tree", F.col("anc").alias("node")).distinct()
+    leaves = links.alias("n").join(inner.alias("p"), _same("n", "p"), "left_anti").join(jumps[-1].alias("c"), _same("n", "c"), "left_anti")
+    reach = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    for k, jump in enumerate(jumps[:-1]):
+        more = reach.alias("r").join(jump.alias("j"), _same("r", "j"))
+        reach = cut(reach.unionByName(more.select("r.tree", "r.leaf", F.col("j.anc").alias("node"), (F.col("r.up") + (1 << k)).alias("up"))))
+    return reach
+
+
+def ranked_branches(links: DataFrame, reach: DataFrame, branches: int | None) -> DataFrame:
     """(tree, leaf, rank): branches by the sum of scores on the path, best first."""
-    scored = reach.alias("r").join(nodes.select("tree", "node", "score").alias("n"), F.col("r.tree").eqNullSafe(F.col("n.tree")) & (F.col("r.node") == F.col("n.node")))
+    scored = reach.alias("r").join(links.select("tree", "node", "score").alias("n"), _same("r", "n"))
     totals = scored.groupBy("r.tree", "r.leaf").agg(F.sum(F.coalesce("n.score", F.lit(0.0))).alias("branch_score"), F.count("*").alias("n_turns"))
     order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
     ranked = totals.select("tree", "leaf", "branch_score", "n_turns").withColumn("rank", F.row_number().over(order))
@@ -81,11 +97,12 @@ def ranked_branches(nodes: DataFrame, reach: DataFrame, branches: int | None) ->
 
 def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     """One row a chosen path: tree, leaf, rank, branch_score, n_turns, formatted, loss_spans."""
-    reach = paths(nodes)
-    chosen = ranked_branches(nodes, reach, branches)
-    on = lambda a, b, c: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    nodes = single_nodes(nodes)
+    links = cut(nodes.select("tree", "node", "parent", "score"))
+    reach = paths(links)
+    chosen = cut(ranked_branches(links, reach, branches))
     turns = (
-        reach.alias("r").join(chosen.alias("c"), on("r", "c", "leaf")).join(nodes.alias("n"), on("r", "n", "node"))
+        reach.alias("r").join(chosen.alias("c"), _same("r", "c", "leaf", "leaf")).join(nodes.alias("n"), _same("r", "n"))
         .select("r.tree", "r.leaf", "c.rank", "c.branch_score", "c.n_turns", (F.col("c.n_turns") - 1 - F.col("r.up")).alias("pos"), "n.role", "n.text")
         .withColumn("piece", format_turn(F.col("role"), F.col("text")))
     )

@@ -3,8 +3,9 @@
 The reader takes Huffman-coded progressive (SOF2) files of one or three components with
 8-bit samples: spectral selection and successive approximation, first and refining scans,
 interleaved DC scans, restart intervals, runs of ended bands. Coefficients are kept in one
-int32 array a component, transformed back in numpy, chroma is upsampled by repetition, and
-the result is a full-resolution RGB tensor (height, width, 3) of uint8.
+int32 array a component, transformed back in numpy, chroma is upsampled (three parts of the
+nearer sample, one of the next), and the result is a full-resolution RGB tensor (height,
+width, 3) of uint8.
 
 Scans whose bits don't depend on Huffman decoding (DC refinements, and AC refinements in
 which every coefficient is already set and one run covers the blocks) are read as bit
@@ -13,8 +14,10 @@ arrays; the rest goes symbol by symbol.
 The writer stores a payload losslessly in the format's unit, the quantized coefficient: 64
 bytes are one 8 x 8 block, byte b is the coefficient b + 256 in zig-zag order, all
 quantizers are 1. A first DC scan and a first AC scan hold the value down to its ninth bit
-(1 for all), and eight refining scans of DC and AC give a bit plane each. A grey file holds
-the payload row by row; with ``chroma`` two half-resolution planes of middle grey follow.
+(1 for all), and eight refining scans of DC and AC give a bit plane each. A file holds the
+payload row by row as luma; with ``chroma`` two half-resolution planes of middle grey follow.
+``text_media`` stores texts as files with chroma, reads them back, and gives the RGB tensor,
+too, if asked for.
 
 Defined cases: null text counts as empty, whose payload is 64 zero bytes; equal texts give
 equal files; truncated or foreign files raise ValueError; an empty table gives no rows.
@@ -349,8 +352,8 @@ class ProgressiveReader:
         """(height, width, 3) uint8."""
         full = []
         for p, plane in zip(self.parts, self.planes(), strict=True):
-            plane = plane.repeat(self.vmax // p.v, axis=0).repeat(self.hmax // p.h, axis=1)
-            full.append(plane[: self.height, : self.width])
+            plane = plane[: -(-self.height * p.v // self.vmax), : -(-self.width * p.h // self.hmax)]
+            full.append(_upsampled(plane, self.vmax // p.v, self.hmax // p.h)[: self.height, : self.width])
         if len(full) == 1:
             grey = np.clip(np.rint(full[0]), 0, 255).astype(np.uint8)
             return np.repeat(grey[:, :, None], 3, axis=2)
@@ -359,6 +362,23 @@ class ProgressiveReader:
         return np.clip(np.rint(np.stack(parts, axis=2)), 0, 255).astype(np.uint8)
 
 
+def _doubled(a: np.ndarray) -> np.ndarray:
+    """Twice as many rows: three parts of the nearer one, one part of the next."""
+    around = np.concatenate([a[:1], a, a[-1:]])
+    out = np.empty((2 * len(a), a.shape[1]), np.float32)
+    out[::2], out[1::2] = 0.75 * a + 0.25 * around[:-2], 0.75 * a + 0.25 * around[2:]
+    return out
+
+
+def _upsampled(plane: np.ndarray, down: int, across: int) -> np.ndarray:
+    if (down, across) == (1, 1):
+        return plane
+    if (plane == plane[0, 0]).all():  # one colour
+        return np.full((len(plane) * down, plane.shape[1] * across), plane[0, 0], np.float32)
+    plane = _doubled(plane) if down == 2 else plane.repeat(down, axis=0)
+    return np.ascontiguousarray(_doubled(plane.T).T) if across == 2 else plane.repeat(across, axis=1)
+
+
 # --- writing -----------------------------------------------------------------
 
 
@@ -460,27 +480,31 @@ def features(rgb: np.ndarray) -> str:
     return ",".join(f"{x:.3f}" for x in (*means, *grid.ravel()))
 
 
-def _media(texts: pa.Array) -> pa.Array:
-    rows = []
-    for text in texts.to_pylist():
-        n, payload = padded(text)
-        stored = write_payload(payload)
-        reader = ProgressiveReader(stored)
-        back = read_payload(reader, len(payload))
-        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(reader.rgb())))
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    cols = zip(*rows, strict=True) if rows else [[]] * 7
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "height": pa.int32(), "width": pa.int32(), "rgb_crc32": pa.int64()}
+MEDIA = "struct<" + ", ".join(f"{n}: { {pa.int64(): 'long', pa.int32(): 'int', pa.string(): 'string'}[k] }" for n, k in FIELDS.items()) + "{0}>"
+
 
+def _media(tensors: bool):
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts.to_pylist():
+            n, payload = padded(text)
+            stored = write_payload(payload, chroma=True)
+            reader = ProgressiveReader(stored)
+            back, rgb = read_payload(reader, len(payload)), reader.rgb()
+            row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(rgb), *rgb.shape[:2], zlib.crc32(rgb.data))
+            rows.append((*row, rgb.tobytes(), stored) if tensors else row)
+        fields = FIELDS | ({"rgb": pa.binary(), "stored": pa.binary()} if tensors else {})
+        cols = zip(*rows, strict=True) if rows else [[]] * len(fields)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, fields.values(), strict=True)], names=list(fields))
 
-MEDIA = "struct<n_bytes: long, payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, feature: string>"
+    return run
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """docs with the struct column ``__media``: each text stored as a file, read back and described."""
+def text_media(docs: DataFrame, tensors: bool = False) -> DataFrame:
+    """docs with the struct column ``__media``: each text stored as a file, read back and described; with ``tensors`` the RGB bytes and the file, too."""
     tune(docs.sparkSession)
-    return docs.withColumn("__media", F.arrow_udf(_media, MEDIA)(F.col("text").cast("binary")))
+    return docs.withColumn("__media", F.arrow_udf(_media(tensors), MEDIA.format(", rgb: binary, stored: binary" if tensors else ""))(F.col("text").cast("binary")))
 
 
 def _tensors(files: pa.Array) -> pa.Array:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, cut, hashed_unit
+from .common import NONSPACE, cut, hashed_unit, reserved
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -33,32 +33,47 @@ def with_size(docs: DataFrame, text_col: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(NONSPACE)), F.lit(0)).cast("long")
 
 
+def _first_numbers(rows: DataFrame, order: list, parts: int) -> DataFrame:
+    """rows in order, with pid and place (from 1) in their range; a range is a task, and no task sees all rows."""
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()))
+    return ranged.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy(*order)))
+
+
+def _before(ranged: DataFrame, **sums) -> DataFrame:
+    """(pid, sums): what the ranges before each range add up to; one row a range, so one small task."""
+    each = ranged.groupBy("pid").agg(*[total.alias(name) for name, total in sums.items()])
+    earlier = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("pid", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_before") for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """(src_null, src, n, source_size) -> adds weight and target. One row a source.
 
     Water level: with sources sorted by cap / weight, those before the first whose cap
-    exceeds its share are full, the rest split what is left by weight.
+    exceeds its share are full, the rest split what is left by weight. Positions and prefix
+    sums are taken in ranges of sources, so that sources may be many (hosts, say).
     """
-    order = Window.orderBy("src_null", "src")
-    ranked = sizes.withColumn("pos", F.row_number().over(order) - 1)
+    parts = max(1, min(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 200))
+    placed = _first_numbers(sizes, ["src_null", "src"], parts)
+    placed = placed.join(_before(placed, n_rows=F.count("*")), "pid").withColumn("pos", F.col("n_rows_before") + F.col("place") - 1)
     n = len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("pos") % n + 1).cast("int"))
-    capped = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat)))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "src_null", "src")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (
-        capped.withColumn("total", F.sum("source_size").over(Window.partitionBy()).cast("double"))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(after))
-        .withColumn("share", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
-        # the level is the share at the first source that isn't full
-        .withColumn("open", F.col("cap") >= F.col("weight") * F.col("share"))
-    )
-    first_open = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("src_null"), F.col("src"), F.col("share")))).over(Window.partitionBy())
-    return level.withColumn("level", first_open["share"]).withColumn(
-        "target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("level")))
-    ).select("src_null", "src", "n", "source_size", "weight", "target")
+    capped = placed.select("src_null", "src", "n", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_repeat))).alias("cap"))
+    capped = capped.withColumn("ratio", F.col("cap") / F.col("weight"))
+    order = ["ratio", "src_null", "src"]
+    ranged = _first_numbers(capped, order, parts)
+    total, weights_sum = ranged.agg(F.coalesce(F.sum("source_size").cast("double"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    own = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.join(_before(ranged, caps=F.sum("cap"), heavy=F.sum("weight")), "pid")
+    cap_before = F.col("caps_before") + F.coalesce(F.sum("cap").over(own), F.lit(0.0))
+    weight_left = F.lit(weights_sum) - F.col("heavy_before") - F.coalesce(F.sum("weight").over(own), F.lit(0.0))
+    share = (F.lit(total) - F.col("cap_before")) / F.col("weight_left")
+    level = sums.withColumn("cap_before", cap_before).withColumn("weight_left", weight_left).withColumn("share", share)
+    # the level is the share at the first source that isn't full
+    first_open = F.min(F.when(F.col("cap") >= F.col("weight") * F.col("share"), F.struct(*order, "share")))
+    water = level.agg(first_open["share"].alias("level")).first()[0]
+    target = F.col("cap") if water is None else F.least("cap", F.col("weight") * F.lit(water))
+    return capped.select("src_null", "src", "n", "source_size", "weight", target.alias("target"))
 
 
 def systematic_copies(narrow: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, partitions: int | None = None) -> DataFrame:
@@ -90,9 +105,11 @@ def systematic_copies(narrow: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each row of docs once per copy, with the columns of docs.
 
-    Rows with equal (doc_id, source, size) are told apart by a number given within them.
+    Rows with equal (doc_id, source, size) are told apart by their number in the order of
+    their columns. ValueError if a column has one of the operator's own names.
     """
     names = docs.columns
+    reserved(docs, "__size", "__k_size", "__no", "__copies", "__copy")
     sized = docs.withColumn("__size", with_size(docs))
     narrow = sized.select("doc_id", "source", F.col("__size").alias("size"))
     copies = cut(systematic_copies(narrow, weights, max_repeat, seed))
@@ -101,8 +118,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     left, right = sized.withColumnsRenamed({"__size": "__k_size"}), copies
     on = (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.source").eqNullSafe(F.col("r.source"))) & (F.col("l.__k_size") == F.col("r.size"))
     if repeated:
-        number = lambda size: F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.lit(0)))
-        left, right = left.withColumn("__no", number("__k_size")), right.withColumn("__no", number("size"))
+        # the row's own columns settle the order, so that reruns agree; rows that agree in all are the same
+        number = lambda size, *order: F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(*order))
+        content = [F.xxhash64(*names), *[F.col(f"`{n}`") for n in names if n in ("text", "lang", "n_chars")]]
+        left, right = left.withColumn("__no", number("__k_size", *content)), right.withColumn("__no", number("size", "copies"))
         on = on & (F.col("l.__no") == F.col("r.__no"))
     taken = right.filter("copies > 0").alias("r")
     joined = left.alias("l").join(taken, on).select(*[F.col(f"l.`{n}`").alias(n) for n in names], F.col("r.copies").alias("__copies"))

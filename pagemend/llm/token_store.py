@@ -2,13 +2,21 @@
 
 A segment file holds documents of one doc_id range in ascending order::
 
-    magic "EFTK", u32 version, u64 n_docs, u64 n_ids, u32 low_bits, u32 id_bytes,
-    u64 n_low_words, u64 n_high_words, u64 n_samples,
-    low words, high words, select samples (u64), doc_ids (i64), ids (u16 or u32)
+    magic "EFTK", u32 version, u32 id_bytes, u64 n_docs, u64 n_ids, u64 n_null, i64 first_id,
+    boundaries, doc_ids, ids (u16 or u32)
 
-Boundaries (n_docs + 1 offsets, the first 0) are split into ``low_bits`` low bits,
-packed, and high parts in unary; select(i) finds the i-th set bit from a sample every
-``SAMPLE`` ones, so that a boundary takes 2 + log2(n_ids / n_docs) bits.
+Boundaries (n_docs + 1 offsets, the first 0) and doc_ids (of the documents that have one,
+less the first) are Elias-Fano lists::
+
+    u64 n, u32 low_bits, u32 n_samples, u64 n_low_words, u64 n_high_words,
+    low words, high words, select samples (u64)
+
+Values are split into ``low_bits`` low bits, packed, and high parts in unary; select(i) finds
+the i-th set bit from a sample every ``SAMPLE`` ones, so that a boundary takes
+2 + log2(n_ids / n_docs) bits. Segments begin at bounds in the order of (doc_id, hash of the
+text), at most ``SEGMENT_DOCS`` documents apart, so that rows of one doc_id may fill many; a
+task also begins a new file after ``SEGMENT_BYTES``, and holds no more than that and one
+document.
 
 Files go to the shared folder through pyarrow's file systems under a name of their own
 for each attempt; the checkpointed manifest names those that count. A retried or lost
@@ -38,10 +46,12 @@ from pyspark.sql import functions as F
 from .common import cut, delete_uri, scratch_uri, tune
 
 MAGIC = b"EFTK"
-HEAD = struct.Struct("<4sIQQIIQQQ")
+HEAD = struct.Struct("<4sIIQQQq")
+LIST = struct.Struct("<QIIQQ")
 SAMPLE = 64
 END_ID = 2
 SEGMENT_DOCS = 4096
+SEGMENT_BYTES = 32 << 20
 #: Words (and pieces) in each of the two halves of a worker's cache: about 150 MB in all.
 CACHE_WORDS = 200_000
 
@@ -96,32 +106,49 @@ class EliasFano:
         return out.astype(np.int64)
 
 
+    def pack(self) -> bytes:
+        return LIST.pack(self.n, self.low_bits, len(self.samples), len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """The list that begins at a byte, and where it ends."""
+        n, low_bits, n_samples, n_low, n_high = LIST.unpack_from(data, at)
+        at, parts = at + LIST.size, []
+        for size in (n_low, n_high, n_samples):
+            parts.append(np.frombuffer(data, np.uint64, size, at))
+            at += 8 * size
+        return cls(n, low_bits, *parts), at
+
+
 def _words(bits: np.ndarray) -> np.ndarray:
     packed = np.packbits(bits, bitorder="little")
     return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.uint64)
 
 
-def pack_segment(doc_ids: np.ndarray, ids: list[np.ndarray], id_bytes: int) -> bytes:
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    ef = EliasFano.build(bounds)
+def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], id_bytes: int) -> bytes:
+    """doc_ids ascend, nulls first."""
+    bounds = EliasFano.build(np.concatenate([[0], np.cumsum([len(x) for x in ids])]))
+    known = np.array([d for d in doc_ids if d is not None], np.int64)
+    first = int(known[0]) if len(known) else 0
+    own = EliasFano.build(known.view(np.uint64) - np.int64(first).view(np.uint64) if len(known) else np.zeros(1, np.uint64))
     flat = np.concatenate(ids).astype(np.uint16 if id_bytes == 2 else np.uint32)
-    head = HEAD.pack(MAGIC, 1, len(ids), len(flat), ef.low_bits, id_bytes, len(ef.low), len(ef.high), len(ef.samples))
-    return b"".join([head, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), doc_ids.astype(np.int64).tobytes(), flat.tobytes()])
+    head = HEAD.pack(MAGIC, 2, id_bytes, len(ids), len(flat), len(ids) - len(known), first)
+    return b"".join([head, bounds.pack(), own.pack(), flat.tobytes()])
 
 
 class Segment:
     """A segment file read back; documents are cut out by select on the boundaries."""
 
     def __init__(self, data: bytes):
-        magic, version, self.n_docs, n_ids, low_bits, id_bytes, n_low, n_high, n_samples = HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        magic, version, id_bytes, self.n_docs, n_ids, self.n_null, self.first = HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a segment file")
-        at, parts = HEAD.size, []
-        for n, kind in ((n_low, np.uint64), (n_high, np.uint64), (n_samples, np.uint64), (self.n_docs, np.int64), (n_ids, np.uint16 if id_bytes == 2 else np.uint32)):
-            parts.append(np.frombuffer(data, kind, n, at))
-            at += parts[-1].nbytes
-        self.bounds = EliasFano(self.n_docs + 1, low_bits, *parts[:3])
-        self.doc_ids, self.ids = parts[3:]
+        self.bounds, at = EliasFano.unpack(data, HEAD.size)
+        self.own, at = EliasFano.unpack(data, at)
+        self.ids = np.frombuffer(data, np.uint16 if id_bytes == 2 else np.uint32, n_ids, at)
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else (self.first + self.own[i - self.n_null] + (1 << 63)) % (1 << 64) - (1 << 63)
 
     def document(self, i: int) -> tuple[int, np.ndarray]:
         """Offset within the segment and ids of the i-th document."""
@@ -273,64 +300,71 @@ def _tokenize(path: str, id_bytes: int):
     return run
 
 
-def _write_segments(folder: str, id_bytes: int):
+def _write_segments(folder: str, id_bytes: int, segment_bytes: int):
     kind = np.uint16 if id_bytes == 2 else np.uint32
 
-    def flush(seg, docs, ids):
-        data = pack_segment(np.array([NULL if d is None else d for d in docs], np.int64), [np.frombuffer(x, kind) for x in ids], id_bytes)
-        name = write_file(folder, f"seg-{seg:09d}-{uuid.uuid4().hex}.eftk", data)
-        return (seg, name, len(docs), sum(len(x) for x in ids) // id_bytes, zlib.crc32(data), len(data))
+    def flush(seg, part, docs, ids):
+        data = pack_segment(docs, [np.frombuffer(x, kind) for x in ids], id_bytes)
+        name = write_file(folder, f"seg-{seg:09d}-{part:06d}-{uuid.uuid4().hex}.eftk", data)
+        row = (seg, part, name, len(docs), sum(len(x) for x in ids) // id_bytes, zlib.crc32(data), len(data))
+        return pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, row, strict=True))], schema=MANIFEST)
 
     def run(batches):
-        seg, docs, ids, out = None, [], [], []
+        seg, part, docs, ids, held = None, 0, [], [], 0
         for batch in batches:
             for s, d, x in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if s != seg and docs:
-                    out.append(flush(seg, docs, ids))
-                    docs, ids = [], []
+                if docs and (s != seg or held + len(x) > segment_bytes):
+                    yield flush(seg, part, docs, ids)
+                    docs, ids, held = [], [], 0
+                    part = part + 1 if s == seg else 0
                 seg = s
                 docs.append(d)
                 ids.append(x)
+                held += len(x)
         if docs:
-            out.append(flush(seg, docs, ids))
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("seg", "name", "n_docs", "n_ids", "crc32", "n_bytes"), row, strict=True)) for row in out], schema=MANIFEST)
+            yield flush(seg, part, docs, ids)
 
     return run
 
 
 NULL = -(1 << 63)
-MANIFEST = pa.schema([("seg", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("n_bytes", pa.int64())])
+MANIFEST = pa.schema([("seg", pa.int64()), ("part", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("n_bytes", pa.int64())])
 
 
-def write_store(docs: DataFrame, path: str, folder: str, id_bytes: int = 2, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
+def write_store(docs: DataFrame, path: str, folder: str, id_bytes: int = 2, segment_docs: int = SEGMENT_DOCS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Encode all documents into segment files in ``folder``; returns the manifest.
 
-    Segment bounds come from doc_ids alone: ids are ranged into partitions, and the first
-    id of every ``segment_docs`` in a partition starts a segment.
+    Segment bounds come from doc_ids and hashes of texts alone: rows are ranged by them into
+    partitions, and the first of every ``segment_docs`` in a partition starts a segment.
     """
     spark = docs.sparkSession
     tune(spark)
     delete_uri(spark, folder)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    ids = docs.select("doc_id")
+    key, spread = F.coalesce("doc_id", F.lit(NULL)).alias("k"), F.xxhash64("text").alias("h")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(parts, "doc_id").withColumn("pid", F.spark_partition_id())
-    numbered = ranged.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("doc_id")))
-    starts = sorted({NULL if r[0] is None else r[0] for r in numbered.filter((F.col("rn") - 1) % segment_docs == 0).select("doc_id").collect()})
-    # one number for each segment_docs documents: 8 bytes of driver memory for about 30 MB of text
-    key = F.coalesce("doc_id", F.lit(NULL))
-    locate = F.pandas_udf(_locate(spark.sparkContext.broadcast(np.array(starts, np.int64))), "long")
-    tokens = docs.select(locate(key).alias("seg"), "doc_id", "text").mapInArrow(_tokenize(path, id_bytes), "seg long, doc_id long, ids binary")
+    ranged = docs.select(key, spread).repartitionByRange(parts, "k", "h").withColumn("pid", F.spark_partition_id())
+    numbered = ranged.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("k", "h")))
+    # two numbers for each segment_docs documents: 16 bytes of driver memory for about 30 MB of text
+    starts = sorted({(r.k, r.h) for r in numbered.filter((F.col("rn") - 1) % segment_docs == 0).select("k", "h").collect()})
+    bounds = np.array(starts, np.int64).reshape(-1, 2)
+    locate = F.pandas_udf(_locate(spark.sparkContext.broadcast(bounds)), "long")
+    tokens = docs.select(locate(key, spread).alias("seg"), "doc_id", "text").mapInArrow(_tokenize(path, id_bytes), "seg long, doc_id long, ids binary")
     n = max(1, min(len(starts), max(parts, len(starts) // 8)))
     dealt = tokens.repartition(n, "seg").sortWithinPartitions("seg", F.col("doc_id").asc_nulls_first(), "ids")
-    return cut(dealt.mapInArrow(_write_segments(folder, id_bytes), "seg long, name string, n_docs long, n_ids long, crc32 long, n_bytes long"))
+    return cut(dealt.mapInArrow(_write_segments(folder, id_bytes, segment_bytes), "seg long, part long, name string, n_docs long, n_ids long, crc32 long, n_bytes long"))
 
 
-def _locate(starts):
-    def run(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts.value, key.to_numpy(np.int64), side="right") - 1)
+def _locate(bounds):
+    def run(key: pd.Series, spread: pd.Series) -> pd.Series:
+        k, h = bounds.value[:, 0], bounds.value[:, 1]
+        own, x = key.to_numpy(np.int64), spread.to_numpy(np.int64)
+        lo, hi = np.searchsorted(k, own, "left"), np.searchsorted(k, own, "right")
+        out = hi - 1
+        for i in np.flatnonzero(hi > lo):  # an id that starts a segment: the hash tells on which side
+            out[i] = lo[i] + np.searchsorted(h[lo[i] : hi[i]], x[i], "right") - 1
+        return pd.Series(out.clip(min=0))
 
     return run
 
@@ -349,7 +383,7 @@ def _read_segments(folder: str):
                     start.append(base + at)
                     n.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                docs = pa.array(seg.doc_ids, mask=seg.doc_ids == NULL)
+                docs = pa.array([seg.doc_id(i) for i in range(seg.n_docs)], pa.int64())
                 yield pa.RecordBatch.from_arrays([docs, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
@@ -357,7 +391,7 @@ def _read_segments(folder: str):
 
 def read_store(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    before = Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)  # one row a segment
+    before = Window.orderBy("seg", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = manifest.select("name", "crc32", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     spread = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
     return spread.mapInArrow(_read_segments(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

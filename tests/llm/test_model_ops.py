@@ -376,6 +376,52 @@ def test_inverse_transform_and_grey():
     assert (reader.rgb()[:, :, 0] == np.clip(np.rint(reader.planes()[0]), 0, 255)).all()
 
 
+def foreign_file(spark, rgb, quality=0.85):
+    """A progressive file by the JVM's own image library, and what that library reads back from it."""
+    j = spark._jvm
+    h, w, _ = rgb.shape
+    picture = j.java.awt.image.BufferedImage(w, h, 1)
+    pixels = spark.sparkContext._gateway.new_array(j.int, h * w)
+    for i, p in enumerate((rgb.astype(int) @ [1 << 16, 1 << 8, 1]).ravel().tolist()):
+        pixels[i] = p
+    picture.setRGB(0, 0, w, h, pixels, 0, w)
+    writer = j.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(1), how.setCompressionMode(2), how.setCompressionQuality(quality)
+    held = j.java.io.ByteArrayOutputStream()
+    stream = j.javax.imageio.ImageIO.createImageOutputStream(held)
+    writer.setOutput(stream), writer.write(None, j.javax.imageio.IIOImage(picture, None, None), how), stream.close()
+    data = bytes(held.toByteArray())
+    back = j.javax.imageio.ImageIO.read(j.java.io.ByteArrayInputStream(data))
+    read = np.array(list(back.getRGB(0, 0, w, h, None, 0, w)), np.int64) & 0xFFFFFF
+    return data, np.stack([read >> 16, read >> 8 & 255, read & 255], axis=-1).reshape(h, w, 3)
+
+
+@pytest.mark.parametrize(("height", "width", "noise", "quality"), [(45, 61, 40, 0.9), (16, 16, 0, 0.5), (1, 1, 0, 0.8), (33, 8, 120, 0.95)])
+def test_foreign_progressive_files(spark, height, width, noise, quality):
+    y, x = np.mgrid[0:height, 0:width]
+    rgb = np.stack([4 * x, 5 * y, 2 * (x + y)], axis=-1) + np.random.default_rng(8).integers(0, noise + 1, (height, width, 3))
+    data, want = foreign_file(spark, rgb.clip(0, 255).astype(np.uint8), quality)
+    heads = [i for i in range(len(data) - 1) if data[i] == 0xFF and data[i + 1] == 0xDA]
+    assert b"\xff\xc2" in data and len(heads) == 10  # interleaved DC, spectral selection, refining scans
+    reader = media.ProgressiveReader(data)
+    assert [(p.h, p.v) for p in reader.parts] == [(2, 2), (1, 1), (1, 1)]
+    off = np.abs(reader.rgb().astype(int) - want)
+    assert off.max() <= 5 and off.mean() < 0.8
+    with pytest.raises(ValueError):
+        media.ProgressiveReader(data[: heads[-1]])
+
+
+def test_text_media_gives_tensors(spark):
+    docs = spark.createDataFrame([(1, "a text of some bytes " * 40), (2, None)], "doc_id long, text string")
+    for r in media.text_media(docs, tensors=True).collect():
+        m = r["__media"]
+        reader = media.ProgressiveReader(bytes(m.stored))
+        assert len(reader.parts) == 3 and len(m.rgb) == 3 * m.height * m.width and zlib.crc32(m.rgb) == m.rgb_crc32
+        assert (np.frombuffer(m.rgb, np.uint8).reshape(m.height, m.width, 3) == reader.rgb()).all()
+        assert media.read_payload(reader, m.payload_bytes) == media.padded(r.text)[1]
+
+
 def test_decode_images(spark):
     files = [media.write_payload(bytes(64 * 5)), media.write_payload(bytes(range(64)) * 3, chroma=True), None]
     table = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id int, content binary")

@@ -132,6 +132,29 @@ def test_token_store(docs, empty):
     assert token_store.store_round_trip(empty, path).count() == 0
 
 
+def test_rows_of_one_document_fill_many_segments(spark, tmp_path):
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/store"
+    rows = [(5, f"row {i} of one id") for i in range(300)] + [(None, f"none {i}") for i in range(40)] + [(-(1 << 63) + 1, "least"), ((1 << 63) - 1, "greatest " * 3000)]
+    manifest = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, folder, segment_docs=32, segment_bytes=600)
+    assert manifest.count() > 12 and max(r.n_bytes for r in manifest.filter("n_docs > 1").collect()) < 1500
+    got = token_store.read_store(manifest, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    (name,) = [r.name for r in manifest.collect() if r.n_docs > 2][:1]
+    seg = token_store.Segment(token_store.read_file(folder, name))
+    assert sum(len(seg.document(i)[1]) for i in range(seg.n_docs)) == len(seg.ids)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), max_size=50), st.integers(0, 3))
+def test_segment_ids(known, n_null):
+    ids = [None] * n_null + sorted(known)
+    if ids:
+        seg = token_store.Segment(token_store.pack_segment(ids, [np.arange(i, dtype=np.uint32) for i in range(len(ids))], 2))
+        assert [seg.doc_id(i) for i in range(len(ids))] == ids
+        assert [seg.document(i)[1].tolist() for i in range(len(ids))] == [list(range(i)) for i in range(len(ids))]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=400))
 def test_elias_fano(steps):
@@ -163,6 +186,24 @@ def test_chat_tree(spark):
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_odd_forests(spark):
+    kind = "tree long, node long, parent long, score double, role string, text string, leaf string, up int, rank string"
+    rows = [
+        (1, 1, 2, 0.0, "user", "cycle"), (1, 2, 1, 0.0, "user", "cycle"), (1, 3, 2, 9.0, "user", "below a cycle"), (1, 4, 4, 0.0, "user", "its own parent"),
+        (2, 1, 77, 1.0, "user", "an orphan"), (2, 2, 1, 1.0, "assistant", "reply"), (2, None, 1, 5.0, "user", "no node"),
+        (3, 1, None, 0.0, "user", "b"), (3, 1, None, 0.0, "user", "a"), (3, 1, None, 0.0, "user", "a"), (3, 2, 1, None, None, None), (3, 2, 1, 0.0, "user", "x"),
+        (4, 1, None, 0.0, "assistant", "long # " * 50_000),
+    ]
+    nodes = spark.createDataFrame([(*r, "L", 1, "R") for r in rows], kind)
+    got = {(r.tree, r.leaf): [(t.role, t.text) for t in r.turns] for r in chat.format_trees(nodes).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()}
+    assert got == {
+        (2, 2): [("user", "an orphan"), ("assistant", "reply")],
+        (3, 2): [("user", "a"), ("", "")],
+        (4, 1): [("assistant", "long # " * 50_000)],
+    }
+    assert chat.format_trees(nodes.filter("tree = 1")).count() == 0
+
+
 def test_chat_long_chain(spark):
     rows = spark.range(700).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     (row,) = chat.format_trees(chat.chain_nodes(rows)).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()
