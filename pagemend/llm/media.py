@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import reserved, tune
 
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))), np.int64)
 _F = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
@@ -503,6 +503,7 @@ def _media(tensors: bool):
 
 def text_media(docs: DataFrame, tensors: bool = False) -> DataFrame:
     """docs with the struct column ``__media``: each text stored as a file, read back and described; with ``tensors`` the RGB bytes and the file, too."""
+    reserved(docs, "__media")
     tune(docs.sparkSession)
     return docs.withColumn("__media", F.arrow_udf(_media(tensors), MEDIA.format(", rgb: binary, stored: binary" if tensors else ""))(F.col("text").cast("binary")))
 

@@ -12,9 +12,13 @@ splits of its chunks (markers, then other characters), which are cached in bound
 a vocabulary with such pieces is searched over the whole text.
 The trie is built once on the driver and shipped; its size is the vocabulary's.
 
+A model without byte pieces gives its unknown piece for a character that no piece covers; one
+without that, either, is refused. Only the plain normalization is read: a model with a
+normalizer map, or one that removes extra spaces, is refused, too.
+
 Defined cases: null or empty text has no ids; a marker character in the text decodes as a
 space (``exact`` is false then); rows that repeat give repeated rows; an empty table gives
-no rows.
+no rows; a column ``__pieces`` of the input raises ValueError.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, tune
+from .common import reserved, settle, tune
 from .token_store import Generations
 
 MARK = "▁"
@@ -38,6 +42,10 @@ UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 80_000
 #: Longer chunks are encoded each time, so that the cache's bytes are bounded too.
 CACHED_CHARS = 64
+#: Chunks are searched together by numpy from so many on, at most so many at once, of texts of so many characters.
+FEW_CHUNKS = 50
+CHUNKS_AT_ONCE = 20_000
+CHARS_AT_ONCE = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PROCESS: dict[int, Encoder] = {}
@@ -85,7 +93,10 @@ def read_model(path: str) -> dict:
         elif field == 2:
             unigram = dict(_fields(value)).get(3, 1) == 1
         elif field == 3:
-            prefix = bool(dict(_fields(value)).get(3, 1))
+            rules = dict(_fields(value))
+            prefix = bool(rules.get(3, 1))
+            if rules.get(2) or rules.get(4, 1):
+                raise ValueError("the model normalizes texts (a map, or extra spaces), which isn't read here")
     if not unigram:
         ranks = [-s if s > -1e8 else len(pieces) for _, s, _ in pieces]
         total = math.log(sum(1 / (r + 2) for r, p in zip(ranks, pieces, strict=True) if p[2] == NORMAL))
@@ -178,7 +189,12 @@ class Model:
         self.codes, self.base, self.check, self.value = trie.codes, np.array(trie.base, np.int32), np.array(trie.check, np.int32), np.array(trie.value, np.int32)
         self.scores = np.array([s for _, s, _ in pieces], np.float64)
         self.least = min(s for _, s, k in pieces if k == NORMAL) - UNKNOWN_PENALTY
-        self.bytes_ = [0] * 256
+        kinds = [k for _, _, k in pieces]
+        self.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else -1
+        self.has_bytes = kinds.count(BYTE) == 256
+        if not self.has_bytes and self.unknown < 0:
+            raise ValueError("the model has neither byte pieces nor an unknown piece")
+        self.bytes_ = [max(self.unknown, 0)] * 256
         self.out: list[bytes] = []
         for i, (p, _, k) in enumerate(pieces):
             if k == BYTE:
@@ -194,8 +210,10 @@ class Encoder:
         self.m = model
         self.codes, self.base, self.check, self.value = model.codes, model.base.tolist(), model.check.tolist(), model.value.tolist()
         self.scores = model.scores.tolist()
+        self.code_of = np.zeros(0x110000, np.int32)
+        self.code_of[[ord(c) for c in self.codes]] = list(self.codes.values())
         self.cache = Generations(CACHE_CHUNKS)
-        self.byte_ids = {*model.bytes_}
+        self.byte_ids = {*model.bytes_} if model.has_bytes else {model.unknown}
 
     def viterbi(self, chunk: str) -> list[int]:
         n = len(chunk)
@@ -229,22 +247,97 @@ class Encoder:
             if ident[at] >= 0:
                 out.append(ident[at])
             else:
-                out.extend(self.m.bytes_[b] for b in reversed(chunk[i:at].encode()))
+                out.extend([self.m.bytes_[b] for b in reversed(chunk[i:at].encode())] if self.m.has_bytes else [self.m.unknown])
             at = i
         return out[::-1]
 
+    def viterbi_all(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as bytes: ``viterbi`` step by step over all chunks at once, at each place from the first start on, so that ties go the same way."""
+        order = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
+        out: list[bytes] = [b""] * len(chunks)
+        for lo in range(0, len(order), CHUNKS_AT_ONCE):
+            part = order[lo : lo + CHUNKS_AT_ONCE]
+            for i, ids in zip(part, self._step_all([chunks[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _step_all(self, chunks: list[str]) -> list[bytes]:
+        """Chunks are in order of falling length."""
+        m, size = self.m, np.array([len(c) for c in chunks])
+        longest, n = int(size[0]), len(chunks)
+        codes = np.zeros((n, longest + 1), np.int32)
+        codes[np.repeat(np.arange(n), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = self.code_of[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        best = np.full((n, longest + 1), -np.inf)
+        best[:, 0] = 0.0
+        came, ident = np.zeros((n, longest + 1), np.int32), np.full((n, longest + 1), -1, np.int32)
+        top = len(m.check)
+        for i in range(longest):
+            count = int(np.searchsorted(-size, -i, "left"))  # chunks that go on at i
+            rows, here, single = np.arange(count), best[:count, i], np.zeros(count, bool)
+            state, j = np.zeros(count, np.int64), i
+            while len(rows):
+                c = codes[rows, j]
+                to = m.base[state] + c
+                ok = (c > 0) & (to > 0) & (to < top)
+                ok[ok] = m.check[to[ok]] == state[ok]
+                rows, state, j = rows[ok], to[ok].astype(np.int64), j + 1
+                if not len(rows):
+                    break
+                piece = m.value[state]
+                ends = piece >= 0
+                at, piece = rows[ends], piece[ends]
+                score = here[at] + m.scores[piece]
+                more = score > best[at, j]
+                hit = at[more]
+                best[hit, j], came[hit, j], ident[hit, j] = score[more], i, piece[more]
+                if j == i + 1:
+                    single[at] = True
+            alone = np.flatnonzero(~single & (here + m.least > best[:count, i + 1]))
+            best[alone, i + 1], came[alone, i + 1], ident[alone, i + 1] = here[alone] + m.least, i, -1
+        back, used = np.zeros((n, longest), np.uint32), np.zeros(n, np.int64)
+        rows, at, bytewise = np.arange(n), size.copy(), np.zeros(n, bool)
+        while len(rows):
+            piece = ident[rows, at]
+            bytewise[rows[piece < 0]] = True
+            used[rows] += 1
+            back[rows, longest - used[rows]] = piece.astype(np.uint32)
+            at = came[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        flat = back.tobytes()
+        ends = (np.arange(n) + 1) * longest * 4
+        cuts = zip((ends - 4 * used).tolist(), ends.tolist(), bytewise.tolist(), chunks, strict=True)
+        return [self._bytes(c) if b else flat[a:z] for a, z, b, c in cuts]
+
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        text = (MARK if self.m.prefix else "") + text.replace(" ", MARK)
-        chunks = _CHUNK.findall(text) if self.m.splits else [text]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= CHARS_AT_ONCE:
+                held, end = held + len(texts[end]), end + 1
+            out += self._encode_some(texts[at:end])
+            at = end
+        return out
+
+    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
+        mark = MARK if self.m.prefix else ""
+        marked = [mark + t.replace(" ", MARK) if t else "" for t in texts]
+        cut = [_CHUNK.findall(t) for t in marked] if self.m.splits else [[t] if t else [] for t in marked]
         self.cache.turn()
-        distinct = set(chunks)
+        distinct = set().union(*cut)
         long = {c: self._bytes(c) for c in distinct if len(c) > CACHED_CHARS}
-        for c in self.cache.missing(distinct.difference(long)):
-            self.cache.now[c] = self._bytes(c)
+        new = self.cache.missing(distinct.difference(long) if long else distinct)
+        if len(new) < FEW_CHUNKS:
+            for c in new:
+                self.cache.now[c] = self._bytes(c)
+        else:
+            self.cache.now.update(zip(new, self.viterbi_all(new), strict=True))
         ids = self.cache.now
-        return np.frombuffer(b"".join([long[c] if c in long else ids[c] for c in chunks] if long else [ids[c] for c in chunks]), np.uint32)
+        if long:
+            return [np.frombuffer(b"".join([long[c] if c in long else ids[c] for c in chunks]), np.uint32) for chunks in cut]
+        return [np.frombuffer(b"".join([ids[c] for c in chunks]), np.uint32) for chunks in cut]
 
     def _bytes(self, chunk: str) -> bytes:
         return np.array(self.viterbi(chunk), np.uint32).tobytes()
@@ -266,6 +359,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
     """docs with ``__pieces``: n_pieces, n_bytes (fallback pieces), ids_crc32, decoded_sha256, exact, and the ids as little-endian u32 bytes if asked for."""
     spark = docs.sparkSession
     tune(spark)
+    reserved(docs, "__pieces")
     shipped = spark.sparkContext.broadcast(Model(path))
     kinds = [("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())] + [("ids", pa.binary())] * with_ids
 
@@ -273,10 +367,10 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
         enc, rows = encoder(shipped.value), []
         byte_piece = np.zeros(len(enc.scores), bool)
         byte_piece[list(enc.byte_ids)] = True
-        for text in texts.to_pylist():
-            ids = enc.encode(text or "")
+        plain = [t or "" for t in texts.to_pylist()]
+        for text, ids in zip(plain, enc.encode_all(plain), strict=True):
             raw, back = ids.astype("<u4").tobytes(), enc.decode(ids)
-            row = (len(ids), int(byte_piece[ids].sum()), zlib.crc32(raw), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""))
+            row = (len(ids), int(byte_piece[ids].sum()), zlib.crc32(raw), hashlib.sha256(back.encode()).hexdigest(), back == text)
             rows.append((*row, raw) if with_ids else row)
         cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
         settle()

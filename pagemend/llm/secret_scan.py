@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import reserved, tune
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -125,5 +125,6 @@ def scan_column(path: str, most: float = MAX_CHARS_PER_TOKEN):
 
 def scan_secrets(docs: DataFrame, path: str, most: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
     """docs with the struct column ``__secrets``."""
+    reserved(docs, "__secrets")
     tune(docs.sparkSession)
     return docs.withColumn("__secrets", scan_column(path, most)(F.col("text")))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, tune
+from .common import reserved, settle, tune
 
 SAMPLE = 12_000
 LEAST_DOCS = 3
@@ -135,7 +135,7 @@ def fit(sample: list[tuple[int, int, bytes]], l1: float = L1, steps: int = STEPS
     """sample: (doc_id, grade, word hashes as bytes), bounded by the caller."""
     sample = sorted(sample, key=lambda r: (r[0], r[1], r[2]))
     grade = np.array([r[1] for r in sample], np.int64)
-    if len(sample) < 10 or not (grade > 0).any() or not (grade == 0).any():
+    if not (grade > 0).any() or not (grade == 0).any():
         return OrdinalModel({}, math.inf, math.inf, math.inf)
     sizes = np.array([len(r[2]) // 8 for r in sample])
     hashes = np.frombuffer(b"".join([r[2] for r in sample]), np.int64)
@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalMode
 
 def score_texts(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs with the struct column ``__toxicity``."""
+    reserved(docs, "__toxicity")
     tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

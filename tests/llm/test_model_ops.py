@@ -120,6 +120,34 @@ def _is_char(data):
         return False
 
 
+def test_pieces_searched_together(monkeypatch, model):
+    monkeypatch.setattr(pieces, "FEW_CHUNKS", 0)
+    monkeypatch.setattr(pieces, "CHUNKS_AT_ONCE", 7)
+    rng = np.random.default_rng(12)
+    letters = [*"etaoinshrdlucm▁éü日🦊-0.\n"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 90))) for _ in range(60)] + ["the quick brown fox " * 20, "", " ", "antidisestablishmentarianism"]
+    enc, plain = pieces.Encoder(model), pieces.Encoder(model)
+    for text, ids in zip(texts, enc.encode_all(texts), strict=True):
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        assert ids.tolist() == [i for c in pieces._CHUNK.findall(marked) for i in plain.viterbi(c)]
+
+
+def test_unread_models(tmp_path, model):
+    piece = lambda p, score, kind: b"\x0a" + bytes([len(p) + 9]) + b"\x0a" + bytes([len(p)]) + p + b"\x15" + np.float32(score).tobytes() + b"\x18" + bytes([kind])
+    rules = lambda *pairs: b"\x1a" + bytes([2 * len(pairs)]) + b"".join(bytes(p) for p in pairs)
+    path = tmp_path / "m.model"
+    words = piece(b"a", -1.0, 1) + piece(b"ab", -1.5, 1)
+    path.write_bytes(piece(b"<unk>", 0.0, 2) + words + rules((0x18, 0), (0x20, 0)))
+    enc = pieces.Encoder(pieces.Model(str(path)))
+    assert enc.encode("abxa").tolist() == [2, 0, 1] and enc.encode_all(["é"])[0].tolist() == [0]  # no byte pieces: the unknown piece
+    path.write_bytes(words + rules((0x20, 0)))
+    with pytest.raises(ValueError, match="neither"):
+        pieces.Model(str(path))
+    path.write_bytes(piece(b"<unk>", 0.0, 2) + words + rules((0x18, 1)))
+    with pytest.raises(ValueError, match="normalizes"):
+        pieces.Model(str(path))
+
+
 def test_trie_holds_its_words_only():
     words = {"a": 0, "ab": 1, "abc": 2, "b": 3, "bé": 4, "zz": 5}
     trie = pieces.DoubleArray(words)
@@ -197,6 +225,55 @@ def test_toxicity_edges(spark, tox):
     assert (again.words, again.t1, again.t2, again.cut) == (model.words, model.t1, model.t2, model.cut)
 
 
+def plain_probability(score, grade, t1, t2):
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    return [1 - sig(score - t1), sig(score - t1) - sig(score - t2), sig(score - t2)][grade]
+
+
+def test_likelihood_and_slopes_by_definition():
+    rng = np.random.default_rng(9)
+    score, grade, t1, t2 = rng.normal(size=60), rng.integers(0, 3, 60), -0.4, 0.9
+    prob, by_score, by_t2 = toxicity._slopes(score, grade, t1, t2)
+    h = 1e-6
+    for i in range(60):
+        log = lambda ds=0.0, d2=0.0: math.log(plain_probability(score[i] + ds, grade[i], t1, t2 + d2))  # noqa: B023, E731
+        assert prob[i] == pytest.approx(plain_probability(score[i], grade[i], t1, t2))
+        assert by_score[i] == pytest.approx((log(h) - log(-h)) / (2 * h), abs=1e-5)
+        assert by_t2[i] == pytest.approx((log(0, h) - log(0, -h)) / (2 * h), abs=1e-5)
+
+
+def test_fit_against_plain_descent():
+    """Weights and thresholds of a small table against plain coordinate steps on the penalized likelihood."""
+    rng = np.random.default_rng(10)
+    x = rng.random((120, 5)) < 0.4
+    grade = np.clip((x @ [2.0, -1.0, 0.0, 1.0, 0.0] + rng.logistic(size=120)).round().astype(int), 0, 2)
+    rows, cols = np.nonzero(x)
+    l1 = 0.01
+
+    def value(w, t1, t2):
+        return -sum(math.log(max(1e-12, plain_probability(float(x[i] @ w), grade[i], t1, t2))) for i in range(120)) / 120 + l1 * np.abs(w).sum()
+
+    w, t1, t2 = toxicity._fit_active(rows.astype(np.int32), cols.astype(np.int32), 120, 5, grade, l1, 400)
+    at = [*w, t1, t2]
+    found, step = value(w, t1, t2), 0.05
+    while step > 1e-3:  # no step along any coordinate lowers the value
+        for i in range(7):
+            for d in (-step, step):
+                near = list(at)
+                near[i] += d
+                if near[5] < near[6]:
+                    assert value(np.array(near[:5]), near[5], near[6]) >= found - 1e-5
+        step /= 3
+
+
+def test_scores_against_plain_sums(tox):
+    d, _, _, model = tox
+    for r in toxicity.score_texts(d, model).limit(200).collect():
+        s = sum(model.words.get(toxicity.word_hash(w), 0.0) for w in {w.strip(toxicity.STRIP) for w in r.text.lower().split()})
+        expected = sum(k * plain_probability(s, k, model.t1, model.t2) for k in range(3))
+        assert r["__toxicity"].expected_severity == pytest.approx(expected) and r["__toxicity"].toxic == (expected > model.cut)
+
+
 # --- near duplicates ---------------------------------------------------------
 
 

@@ -102,6 +102,68 @@ def test_secret_rules():
     assert len(secret_scan.random_spans("x q8Zr2LmK9vTb4XcW7nYp1sDf y", enc)) == 1
 
 
+def plain_random_spans(text, enc, most=secret_scan.MAX_CHARS_PER_TOKEN):
+    """Spans of random strings by their definition, run by run and part by part."""
+    uuid = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    n = lambda s: len(enc.encode_ordinary(s))
+    known = lambda s: bool(re.fullmatch(uuid, s)) or (len(s) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-fA-F]+", s) is not None)
+    bad = lambda s: len(s) >= 20 and not known(s) and len(s) / n(s) <= most
+    worded = lambda s: all(p.isalpha() or p.isdigit() for p in re.findall("[A-Za-z0-9]+", s)) and all((p.isdigit() and len(p) < 20) or n(p) == 1 or len(p) / n(p) > most for p in re.findall("[A-Za-z0-9]+", s))
+    out = []
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if known(run[0]):
+            continue
+        if bad(run[0]) and not worded(run[0]):
+            out.append((run.start(), 3, run.end()))
+            continue
+        if worded(run[0]):
+            continue
+        parts = [(m.start(), m.end()) for m in re.finditer(rf"(?<![A-Za-z0-9]){uuid}(?![A-Za-z0-9])|[A-Za-z0-9]+", run[0])]
+        dense = [not known(run[0][a:b]) and (b - a) / n(run[0][a:b]) <= most for a, b in parts]
+        i = 0
+        while i < len(parts):
+            if not dense[i]:
+                i += 1
+                continue
+            j = i
+            while j + 1 < len(parts) and dense[j + 1]:
+                j += 1
+            a, b = parts[i][0], parts[j][1]
+            spans = [(a, b)] if bad(run[0][a:b]) else [p for p in parts[i : j + 1] if bad(run[0][p[0] : p[1]])]
+            out += [(run.start() + x, 3, run.start() + y) for x, y in spans]
+            i = j + 1
+    return out
+
+
+def test_random_spans_by_definition():
+    enc = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(14)
+    alnum = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    bits = ["customer", "profile", "settings", "2024", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "v2", "information"]
+    for _ in range(400):
+        parts = [str(rng.choice(bits)) if rng.random() < 0.6 else "".join(rng.choice(alnum, rng.integers(2, 30))) for _ in range(rng.integers(1, 6))]
+        text = "".join(p + str(rng.choice([*"/_-=+ ."])) for p in parts)
+        assert secret_scan.random_spans(text, enc) == plain_random_spans(text, enc), text
+
+
+def test_planted_keys_and_clean_words():
+    """Recall on planted random strings, letters only included, and precision on paths, names and digests."""
+    enc = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(15)
+    words = "account address amount analysis application archive balance billing branch calendar category channel client collection comment company component config connection container content contract control country customer database default delivery department description design detail device directory discount document domain download element employee environment event example export feature feedback field file filter finance folder format function gateway group header history image import index information input instance integration interface invoice item journal keyboard language layer level library license link list location manager market member memory message method model module monitor network number object office operation option order organization output package page parameter partner password path payment performance period permission person phone picture plan platform policy position price process product profile program project property provider query question range record reference region register release report request resource response result review role rule sample schedule schema search section security selection server service session setting shipment signal source standard state status storage store stream structure style subject summary supplier support system table target task team template term test text theme ticket time title token topic total track training transaction transfer type unit update upload user value vendor version view volume warehouse window worker workflow".split()
+    kinds = {"letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "lower": "abcdefghijklmnopqrstuvwxyz", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    for name, alphabet in kinds.items():
+        for size in (24, 32, 40):
+            caught = sum(bool(secret_scan.random_spans(f"the {''.join(rng.choice([*alphabet], size))} end", enc)) for _ in range(200))
+            assert caught >= 190, (name, size, caught)
+    false = 0
+    for i in range(1000):
+        some = rng.choice(words, 5)
+        text = [f"https://example.com/{'/'.join(some)}", "_".join(some), "-".join(some[:4]) + "-2024-01-0" + str(i % 9), "".join(w.capitalize() for w in some), hashlib.sha256(b"%d" % i).hexdigest()][i % 5]
+        false += bool(secret_scan.random_spans(f"see {text} here", enc))
+    assert false <= 5, false
+
+
 def test_random_letters_and_keys_behind_words():
     enc = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(4)
