@@ -1,4 +1,4 @@
-"""What Spark has no function for: matching-block similarity, mark folding, block keys.
+"""What Spark has no function for: matching-block similarity, the nearest word of a block, mark folding.
 
 ``ratio`` is the share of characters in matching blocks (longest block first, then both
 sides of it). It isn't symmetric, so the order of arguments is part of each call. The
@@ -11,12 +11,9 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,42 +45,6 @@ def bag_bounds(left: list[str], right: list[str]) -> np.ndarray:
     return 2 * shared / np.maximum(length[at[:, 0]] + length[at[:, 1]], 1)
 
 
-def ratio_bound(a, b) -> Column:
-    """An upper bound of the ratio of two texts that aren't null."""
-    return F.arrow_udf(lambda x, y: pa.array(bag_bounds(x.to_pylist(), y.to_pylist()), pa.float64()), "double")(col(a), col(b))
-
-
-def best_of_sorted(least: float):
-    """Rows (document_id, token, other, bound) sorted by document, token, falling bound -> (document_id, token, best).
-
-    The exact ratio is taken only while the bound can still win; rows of a token come one after
-    the other, so nothing but the best so far is held. Equal ratios keep the row that ranks
-    first by ``place`` (the three columns after the bound).
-    """
-
-    def run(batches):
-        key, best, last = None, None, None
-        for batch in batches:
-            done = []
-            for doc, token, other, bound, *place in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (doc, token) != key:
-                    if best is not None and best[0] > 0:
-                        done.append((*key, best[2]))
-                    key, best, last = (doc, token), None, None
-                if other == last or (best is not None and bound < best[0]):
-                    continue
-                last = other
-                value = ratio_value(token, other, least)
-                if value and (best is None or (-value, place) < (-best[0], best[1])):
-                    best = (value, place, other)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], names=["document_id", "token", "best"])
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*key, best[2])], names=["document_id", "token", "best"])
-
-    return run
-
-
 def ratio(a, b, least: float = 0.0) -> Column:
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         x, y = left.to_pylist(), right.to_pylist()
@@ -110,53 +71,87 @@ def drop_non_ascii(c) -> Column:
     return F.regexp_replace(col(c), r"[^\x00-\x7F]", "")
 
 
-# --- blocking ----------------------------------------------------------------
+# --- nearest words -----------------------------------------------------------
 
-#: Letters from rare to common; anything else is rarer.
-_COMMON = "zqxjkvbpygfwmucldrhsnioate"
-_RANK = {c: i for i, c in enumerate(_COMMON, 1)}
+BUCKETS = 32
+LEVELS = 2
+#: Words of 64 or more characters don't fit the bits of a machine word; their bags alone bound them.
+WORD_BITS = 64
 
 
-@lru_cache(4096)
-def least_common(length: int, gap: int, t: float, shortest: int) -> int:
-    """The fewest characters that a token of this length shares with any partner at ratio t."""
-    most = 10**9
-    for other in range(max(shortest, length - gap), length + gap + 1):
-        need = t * (length + other) / 2
-        whole = int(need)
-        most = min(most, whole if whole >= need - 1e-9 else whole + 1)
-    return most
+def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, code points of all words in one array)."""
+    return np.array([len(w) for w in words], np.int64), np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def group_size(length: int) -> int:
-    """How many items a key takes: large groups tell more, but there are too many of them in long tokens."""
-    return 4 if length <= 16 else 3 if length <= 24 else 2 if length <= 48 else 1
+def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 vectors of (character class, how manieth) up to LEVELS, and how many characters they leave out."""
+    length, codes = _characters(words)
+    owner = np.repeat(np.arange(len(words)), length)
+    counts = np.bincount(owner * BUCKETS + codes % BUCKETS, minlength=len(words) * BUCKETS).reshape(-1, BUCKETS)
+    return np.concatenate([counts > k for k in range(LEVELS)], axis=1).astype(np.float32), np.maximum(counts - LEVELS, 0).sum(axis=1)
 
 
-def bag_keys(token: str, gap: int, t: float, shortest: int) -> list[int]:
-    """Keys of which two tokens at ratio t (lengths within gap) have at least one in common.
+def _common_subsequence(asked: list[str], others: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of asked[i] and others[j], all pairs at once; others have one length, asked fit a machine word.
 
-    A token is a set of (character, how manieth). Sets that share m items share g of the
-    first n - m + g in any fixed order; rare characters come first. The keys are the groups of
-    g of these, for each size g that a partner's length may ask for.
+    One bit a character of the asked word; a step for each character of the other.
+    """
+    _, theirs = _characters(others)
+    alphabet, place = np.unique(theirs, return_inverse=True)
+    place = place.reshape(len(others), -1)
+    length, mine = _characters(asked)
+    owner = np.repeat(np.arange(len(asked)), length)
+    at = np.arange(len(mine)) - np.repeat(np.cumsum(length) - length, length)
+    known = np.searchsorted(alphabet, mine).clip(max=len(alphabet) - 1)
+    held = alphabet[known] == mine
+    masks = np.zeros((len(asked), len(alphabet)), np.uint64)
+    np.bitwise_or.at(masks, (owner[held], known[held]), np.uint64(1) << at[held].astype(np.uint64))
+    open_ = np.full(len(i), ~np.uint64(0))
+    for k in range(place.shape[1]):
+        hit = open_ & masks[i, place[j, k]]
+        open_ = (open_ + hit) | (open_ - hit)
+    whole = (np.uint64(1) << length[i].astype(np.uint64)) - np.uint64(1)
+    return np.bitwise_count(~open_ & whole).astype(np.int64)
+
+
+def nearest_words(asked: list[str], others: list[str], places: list, least: float, block: int = 512) -> list[tuple[int, float, int]]:
+    """(i, ratio, j): for asked words with a ratio of ``least`` to one of ``others``, the best; ties to the smallest place.
+
+    All of ``others`` have one length. Bags bound all pairs at once (a matrix product), the
+    longest common subsequence bounds those left, and the exact ratio is taken from the
+    highest bound down while it can still win.
     """
-    seen: Counter = Counter()
-    items = []
-    for c in token:
-        seen[c] += 1
-        items.append((-seen[c], _RANK.get(c, 0), c))
-    items.sort()
-    m = least_common(len(token), gap, t, shortest)
     out = []
-    # a size follows from one length alone, so that both tokens of a pair have it
-    for g in {min(group_size(n), least_common(n, gap, t, shortest)) for n in range(max(shortest, len(token) - gap), len(token) + gap + 1)}:
-        names = [f"{c}{-n}" for n, _, c in items[: len(items) - m + g]]
-        out += [xxhash.xxh3_64_intdigest("|".join(x).encode(), g) - (1 << 63) for x in combinations(names, g)]
+    if not asked or not others:
+        return out
+    size = len(others[0])
+    right, right_more = _bags(others)
+    rank = np.argsort(np.array(sorted(range(len(others)), key=places.__getitem__)))
+    for lo in range(0, len(asked), block):
+        part = asked[lo : lo + block]
+        left, left_more = _bags(part)
+        length = np.array([len(w) for w in part])
+        need = np.ceil(least * (length + size) / 2 - 1e-9)
+        shared = left @ right.T
+        if left_more.any() and right_more.any():
+            shared += np.minimum(left_more[:, None], right_more[None, :])
+        i, j = np.nonzero(shared >= need[:, None])
+        most = np.minimum(shared[i, j].astype(np.int64), np.minimum(length[i], size))
+        short = length[i] < WORD_BITS
+        if short.any():
+            most[short] = _common_subsequence([w if len(w) < WORD_BITS else "" for w in part], others, i[short], j[short])
+        hope = most >= need[i]
+        i, j, most = i[hope], j[hope], most[hope]
+        order = np.lexsort((rank[j], -most, i))
+        best: dict[int, tuple[float, int, int]] = {}
+        for a, b, m in zip(i[order].tolist(), j[order].tolist(), most[order].tolist(), strict=True):
+            now = best.get(a)
+            bound = 2.0 * m / (len(part[a]) + size)
+            if now is not None and (bound, -rank[b]) < now[:2]:
+                continue
+            value = SequenceMatcher(None, part[a], others[b]).ratio()
+            if value >= least and (now is None or (value, -rank[b]) > now[:2]):
+                best[a] = (value, -rank[b], b)
+        out += [(lo + a, value, b) for a, (value, _, b) in best.items()]
     return out
-
-
-def blocks_by_bag(c, gap: int, t: float, shortest: int) -> Column:
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([bag_keys(x, gap, t, shortest) for x in texts.to_pylist()], pa.list_(pa.int64()))
-
-    return F.arrow_udf(run, "array<long>")(col(c))

@@ -128,15 +128,6 @@ def anchored(a, b) -> Column:
     return F.exists(left, lambda g: F.exists(right, lambda c: F.contains(c, g) | F.contains(g, c)))
 
 
-def all_vouched(c, known: list[str]) -> Column:
-    """Every alphanumeric run of the line, lower-cased, is a known token."""
-    if not known:
-        return F.lit(False)
-    found = cores(c)
-    vocabulary = F.array(*[F.lit(k) for k in known])
-    return (F.size(found) > 0) & F.forall(found, lambda t: F.array_contains(vocabulary, F.lower(t)))
-
-
 def core_of(pattern) -> Column:
     """From the first to the last alphanumeric, what lies between kept."""
     return F.regexp_extract(col(pattern), r"(?s)([A-Za-z0-9](?:.*[A-Za-z0-9])?)", 1)

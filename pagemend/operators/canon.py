@@ -6,30 +6,28 @@ partial sums before the shuffle; a hot cluster or text is a few rows a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemend.functions.similarity import ratio
-from pagemend.functions.text import has_numeric_field, word_tokens
+from pagemend.functions.text import has_numeric_field
 from pagemend.schema import (
     CLEAN_CONF,
     CONF_GATE,
-    KNOWN_WEIGHT,
     MIN_CLEAN_SIBLINGS,
     MIN_LINE_LENGTH,
-    MIN_ZIPF,
     NEAR_MISS_FRACTION,
     NEAR_MISS_LENGTH_GAP,
     NEAR_MISS_RATIO,
     PROFILE_SUPPORT,
     SLOT_DEPTH,
     TIE_FACTOR,
-    WORDFREQ_WEIGHT,
     lines_of,
 )
 
 from .blocking import near_pairs
 from .cluster import CLUSTER
+from .lexical import Plausibility
 
 SLOT = [*CLUSTER, "side", "k"]
 
@@ -60,36 +58,23 @@ def slot_tally(clustered: DataFrame) -> DataFrame:
     return slot_entries(clustered, clean, F.col("text")).groupBy(*SLOT, "text").agg(F.count("*").alias("n"))
 
 
-def plausibility(text, known: list[str] = (), zipf: DataFrame | None = None) -> Column:
-    """Mean weight of the word tokens: known terms count most, attested words less, others nothing.
-
-    ``zipf`` (token, zipf) is a table of word frequencies, looked up as a map; without it only
-    known terms count.
-    """
-    words = word_tokens(text)
-    vocabulary = F.array(*[F.lit(k) for k in known]).cast("array<string>")
-    attested = F.lit(None)
-    if zipf is not None:
-        common = [r.token for r in zipf.filter(F.col("zipf") >= MIN_ZIPF).select("token").collect()]  # a language's vocabulary
-        attested = F.array(*[F.lit(w) for w in common]).cast("array<string>")
-    weight = lambda w: F.when(F.array_contains(vocabulary, F.lower(w)), KNOWN_WEIGHT).when(F.array_contains(attested, F.lower(w)) if zipf is not None else F.lit(False), WORDFREQ_WEIGHT).otherwise(0.0)
-    total = F.aggregate(F.transform(words, weight), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(words) == 0, 0.0).otherwise(total / F.size(words))
-
-
 def choose(tally: DataFrame, key: list[str], plausible=None) -> DataFrame:
     """(key, text, support): the modal text of each key.
 
-    The most frequent, ties to the smaller text. With ``plausible`` (text column -> score),
-    texts within the tie factor of the most frequent are ranked by score, then count, then the
-    greater text.
+    The most frequent, ties to the smaller text. With ``plausible`` (a ``lexical.Plausibility``,
+    or a function from a text column to a score), texts within the tie factor of the most
+    frequent are ranked by score, then count, then the greater text.
     """
     first = tally.groupBy(*key).agg(F.min_by("text", F.struct(-F.col("n"), F.col("text"))).alias("text"), F.max("n").alias("support"))
     if plausible is None:
         return first
     best = tally.groupBy(*key).agg(F.max("n").alias("__best"))
     close = tally.join(best, key).filter(F.col("n") * TIE_FACTOR >= F.col("__best"))
-    rank = F.struct(plausible("text").alias("p"), F.col("n").alias("n"), F.col("text").alias("t"))
+    if isinstance(plausible, Plausibility):
+        close, score = close.join(plausible.scores(close), "text"), F.col("p")
+    else:
+        score = plausible("text")
+    rank = F.struct(score.alias("p"), F.col("n").alias("n"), F.col("text").alias("t"))
     top = close.groupBy(*key).agg(F.max(rank).alias("r"))
     return top.select(*key, F.col("r.t").alias("text"), F.col("r.n").alias("support"))
 

@@ -36,7 +36,11 @@ def canonical_counts(counts: DataFrame, clusters: DataFrame, profile_lines: Data
 
 
 def prefix_pairs(texts: DataFrame, canon: DataFrame) -> DataFrame:
-    """(cluster, text, other, shared): canonicals that open like the text, by equality of the first characters."""
+    """(cluster, text, other, shared): canonicals that open like the text, by equality of the first characters.
+
+    A canonical is read on a quarter of a cluster's pages, so a cluster has at most four times
+    the lines of a mean page of them: a text meets no more, however hot the opening is.
+    """
     head = lambda c: F.substring(strip(c), 1, PREFIX_MIN_CHARS)
     long_enough = lambda c: F.length(strip(c)) >= PREFIX_MIN_CHARS
     left = texts.filter(long_enough("text")).withColumn("__h", head("text"))

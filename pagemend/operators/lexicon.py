@@ -1,16 +1,17 @@
 """The corpus as its own dictionary: token counts, and repair of unattested tokens.
 
-The nearest token is found by an equality join on keys of shared rare characters (see
-``similarity.bag_keys``), never by a scan of the vocabulary. A token that the lexicon holds
-is its own nearest, so only unattested ones are looked up, each once a document.
+A token that the lexicon holds is its own nearest, so only unattested ones are looked up,
+each once a document. They meet the document's words in blocks of one length and a bounded
+number of words (see ``similarity.nearest_words``); only each block's best goes on.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemend.functions.similarity import best_of_sorted, blocks_by_bag, ratio_bound
+from pagemend.functions.similarity import nearest_words
 from pagemend.functions.text import all_digits, has_identifier, has_numeric_field, is_cosmetic, tokens
 from pagemend.schema import CLEAN_CONF, LEXICON_LENGTH_GAP, LEXICON_RATIO, TOKEN_LENGTH, lines_of
 
@@ -28,31 +29,74 @@ def build_lexicon(pages: DataFrame) -> DataFrame:
     return flat.groupBy("document_id", "token").agg(F.count("*").alias("freq"), F.min(F.struct("page_ord", "line_no", "tok_no")).alias("first"))
 
 
+def _dealt(asked: DataFrame, lexicon: DataFrame, gap: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides by (document_id, size, part, deal): a block holds the words of one length, in bounded parts.
+
+    A document's words of one length are dealt over parts, and so are the tokens that ask
+    for them; every deal of tokens meets every part of words once.
+    """
+    words = lexicon.select("document_id", F.col("token").alias("other"), F.length("token").alias("size"), *[F.col(f"first.{c}").alias(c) for c in PLACE])
+    sizes = F.explode(F.sequence(F.greatest(F.lit(TOKEN_LENGTH), F.length("token") - gap), F.length("token") + gap)).alias("size")
+    tokens = asked.select("document_id", "token", sizes)
+    key = ["document_id", "size"]
+    parts = words.groupBy(*key).agg(F.ceil(F.count("*") / WORDS_A_PART).cast("int").alias("parts"))
+    deals = tokens.groupBy(*key).agg(F.ceil(F.count("*") / TOKENS_A_DEAL).cast("int").alias("deals"))
+    grid = parts.join(deals, key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = tokens.join(grid, key).withColumn("deal", own("token", "deals")).withColumn("part", every("parts"))
+    right = words.join(grid, key).withColumn("part", own("other", "parts")).withColumn("deal", every("deals"))
+    # names of their own, as both sides may come from one table
+    renamed = [F.col(c).alias(f"b_{c}") for c in BLOCK]
+    return left.select(*renamed, "token"), right.select(*renamed, "other", *PLACE)
+
+
+def _nearest(min_ratio: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, others = left["token"].to_pylist(), right["other"].to_pylist()
+        places = list(zip(*(right[c].to_pylist() for c in PLACE), strict=True))
+        found = nearest_words(asked, others, places, min_ratio)
+        doc = left["b_document_id"][0].as_py() if found else None
+        rows = [(doc, asked[i], others[j], value, *places[j]) for i, value, j in found]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_FOUND)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, _FOUND.types, strict=True)], schema=_FOUND)
+
+    return run
+
+
+PLACE = ("page_ord", "line_no", "tok_no")
+BLOCK = ("document_id", "size", "part", "deal")
+#: A block compares at most about so many words with so many tokens.
+WORDS_A_PART = 16_000
+TOKENS_A_DEAL = 40_000
+_FOUND = pa.schema([("document_id", pa.string()), ("token", pa.string()), ("other", pa.string()), ("ratio", pa.float64()), *[(c, pa.int64()) for c in PLACE]])
+
+
 def closest(asked: DataFrame, lexicon: DataFrame, min_ratio: float = LEXICON_RATIO, gap: int = LEXICON_LENGTH_GAP) -> DataFrame:
     """(document_id, token, best) for asked tokens with a neighbour at ``min_ratio``; the first read wins ties."""
-    block = lambda c: F.explode(blocks_by_bag(c, gap, min_ratio, TOKEN_LENGTH))
     probes = asked.select("document_id", "token").distinct().join(lexicon.select("document_id", "token"), ["document_id", "token"], "left_anti")
-    place = [F.col(f"first.{c}").alias(f"__{c}") for c in ("page_ord", "line_no", "tok_no")]
-    left = probes.select("document_id", "token", block("token").alias("__b"))
-    right = lexicon.select("document_id", F.col("token").alias("other"), *place, block("token").alias("__b"))
-    near = F.abs(F.length("token") - F.length("other")) <= gap
-    bounded = left.join(right, ["document_id", "__b"]).filter(near).withColumn("bound", ratio_bound("token", "other")).filter(F.col("bound") >= min_ratio - 1e-9)
-    rows = bounded.select("document_id", "token", "other", "bound", "__page_ord", "__line_no", "__tok_no")
-    ranked = rows.repartition("document_id", "token").sortWithinPartitions("document_id", "token", F.desc("bound"), "__page_ord", "__line_no", "__tok_no")
-    return ranked.mapInArrow(best_of_sorted(min_ratio), "document_id string, token string, best string")
+    left, right = _dealt(probes, lexicon, gap)
+    schema = "document_id string, token string, other string, ratio double, " + ", ".join(f"{c} long" for c in PLACE)
+    key = [f"b_{c}" for c in BLOCK]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(min_ratio), schema)
+    return found.groupBy("document_id", "token").agg(F.min_by("other", F.struct(-F.col("ratio"), *PLACE)).alias("best"))
 
 
-def repair(lines: DataFrame, lexicon: DataFrame, known: list[str] = ()) -> DataFrame:
+def repair(lines: DataFrame, lexicon: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(document_id, page_ord, line_no, repaired, guard, naive, vouched) of low-confidence lines.
 
     ``repaired`` is null unless letters change. ``guard`` (numeric or identifier) is set where
     it kept a line from changing to ``naive``; ``vouched`` lists (tok_no, token, best) of known
-    tokens that had a neighbour.
+    tokens that had a neighbour. known: (token), lower-cased.
     """
     flat = lines.select(*LINE_KEY, F.posexplode(tokens("text")).alias("tok_no", "token"))
     nearest = closest(flat.filter(eligible("token")), lexicon)
-    is_known = F.array_contains(F.array(*[F.lit(k) for k in known]), F.lower("token")) if known else F.lit(False)
-    told = flat.join(nearest, ["document_id", "token"], "left").withColumn("known", is_known)
+    told = flat.join(nearest, ["document_id", "token"], "left")
+    if known is None:
+        told = told.withColumn("known", F.lit(False))
+    else:
+        terms = known.select(F.col("token").alias("__low"), F.lit(True).alias("known"))
+        told = told.withColumn("__low", F.lower("token")).join(terms, "__low", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     free = F.coalesce("best", "token")
     words = told.groupBy(*LINE_KEY).agg(
         F.array_sort(F.collect_list(F.struct("tok_no", free.alias("free"), F.when(F.col("known"), F.col("token")).otherwise(free).alias("kept")))).alias("w"),

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemend.functions.similarity import ratio
-from pagemend.functions.text import all_vouched, anchored, common_prefix, figure_safe, is_cosmetic, strip
+from pagemend.functions.text import anchored, figure_safe, is_cosmetic, strip
 from pagemend.schema import COMPATIBLE_RATIO, MIN_CLEAN_SIBLINGS, MIN_PREFIX
 
 from .cluster import CLUSTER
+from .lexical import vouched_texts
+from .openings import longest_opening
 
 LINE_KEY = ["document_id", "page_ord", "line_no"]
 
@@ -38,24 +40,22 @@ def slot_candidates(low: DataFrame, slots: DataFrame, min_support: int = MIN_CLE
 
 
 def prefix_candidates(low: DataFrame, index: DataFrame, min_prefix: int = MIN_PREFIX) -> DataFrame:
-    """(cluster, text, prefix_text): the standing line with the longest common prefix, first in the index on ties.
-
-    Sharing ``min_prefix`` characters is equality of that prefix, so this is a hash join of
-    distinct texts.
-    """
-    head = F.substring(strip("text"), 1, min_prefix)
-    texts = low.select(*CLUSTER, "text").distinct().filter(F.length(strip("text")) >= min_prefix).withColumn("__head", head)
-    lines = index.filter(F.length(strip("text")) >= min_prefix).select(*CLUSTER, head.alias("__head"), F.col("text").alias("other"), "ord")
-    pairs = texts.join(lines, [*CLUSTER, "__head"]).filter("text <> other").withColumn("__n", common_prefix(strip("text"), strip("other")))
-    return pairs.groupBy(*CLUSTER, "text").agg(F.min_by("other", F.struct(-F.col("__n"), F.col("ord"))).alias("prefix_text"))
+    """(cluster, text, prefix_text): the standing line with the longest common prefix, first in the index on ties."""
+    lines = index.select(*CLUSTER, F.col("text").alias("other"), "ord")
+    return longest_opening(low.select(*CLUSTER, "text"), lines, CLUSTER, min_prefix).withColumnRenamed("other", "prefix_text")
 
 
-def recover(low: DataFrame, slots: DataFrame, index: DataFrame, known: list[str] = ()) -> DataFrame:
-    """low lines with ``boilerplate`` (the new text or null), ``guard`` and ``refused`` (what a guard stopped)."""
+def recover(low: DataFrame, slots: DataFrame, index: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """low lines with ``boilerplate`` (the new text or null), ``guard`` and ``refused`` (what a guard stopped). known: (token)."""
     placed = slot_candidates(low, slots).join(prefix_candidates(low, index), [*CLUSTER, "text"], "left")
     placed = placed.select(*low.columns, F.coalesce("slot_text", "prefix_text").alias("__new"))
     text, new, guard = F.col("text"), F.col("__new"), F.col("guard")
-    held = F.when(new.isNotNull(), F.when(all_vouched("text", known), "known").when(~figure_safe(text, new), "figure"))
+    vouched = F.lit(False)
+    if known is not None:
+        asked = placed.filter("__new is not null").select("text")
+        placed = placed.join(vouched_texts(asked, known).withColumn("__vouched", F.lit(True)), "text", "left")
+        vouched = F.coalesce("__vouched", F.lit(False))
+    held = F.when(new.isNotNull(), F.when(vouched, "known").when(~figure_safe(text, new), "figure"))
     guarded = placed.withColumn("guard", held)
     fix = F.when(guard.isNull() & new.isNotNull() & ~is_cosmetic(text, new), new)
     return guarded.select(*low.columns, fix.alias("boilerplate"), "guard", F.when(guard.isNotNull(), new).alias("refused"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemend.functions.text import has_non_ascii
-from pagemend.operators import canon, disagree, errors, fold, lexicon, recover
+from pagemend.operators import canon, disagree, errors, fold, lexical, lexicon, recover
 from pagemend.operators.cluster import CLUSTER, cluster_info, cluster_pages
 from pagemend.schema import CONF_GATE, DISAGREE_RATIO, MIN_CLEAN_SIBLINGS, NO_CANONICAL, NO_SUPPORT, lines_of
 
@@ -62,14 +62,15 @@ def correct(
     ascii_mode: str = fold.EVIDENCE,
     plausible=None,
     disagree_ratio: float = DISAGREE_RATIO,
-    known: list[str] = (),
+    known: DataFrame | list[str] | None = None,
     error_patterns: list[errors.Resolved] = (),
     typography: bool = True,
     formats=None,
 ) -> Correction:
     """Repair low-confidence lines, fold, apply declared patterns, adopt typography; report the rest.
 
-    profile: ``review.Profile``; known: lower-cased alphabetic tokens; error_patterns: what
+    profile: ``review.Profile``; known: lower-cased alphabetic tokens (a list, or a table of
+    token); plausible: ``lexical.Plausibility`` or a function of a column; error_patterns: what
     ``errors.compile_patterns`` gives. A null text or confidence counts as empty and 0.
     """
     clean = F.transform("lines", lambda x: F.struct(F.coalesce(x["text"], F.lit("")).alias("text"), F.coalesce(x["conf"], F.lit(0.0)).alias("conf"), x["box"].alias("box")))
@@ -78,6 +79,8 @@ def correct(
     clusters = cluster_info(clustered, profile.clusters if profile is not None else None)
     lines = lines_of(clustered).select(*CHAIN)
 
+    known = lexical.token_table(pages.sparkSession, known)
+
     # evidence
     counts = cut(canon.text_counts(clustered, conf_gate))
     slots, index = canon.slot_canon(clustered, plausible), canon.line_index(counts)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemend.functions import text as T
-from pagemend.operators import canon, disagree, errors, fold, lexicon, recover, review
+from pagemend.operators import canon, disagree, errors, fold, lexical, lexicon, recover, review
 from pagemend.operators.cluster import CLUSTER, cluster_info, cluster_pages
 from pagemend.plans.correct import Correction, correct
+from pagemend.ratio_sql import bag_bound, can_share, mask, ratio_parts
 from pagemend.schema import CONF_GATE, LINE, MIN_CLEAN_SIBLINGS, MIN_LINE_LENGTH, lines_of
 from pagemend.sinks import text as sink
 from pagemend.sources import cached, container, rules, terms
@@ -82,8 +83,62 @@ standing AS (
 )"""
 
 
+#: Texts of each cluster as ``canon.text_counts`` counts them, and what ``disagree.canonical_counts`` takes for canonical.
+COUNTS_SQL = rf"""
+sized AS (
+  SELECT coalesce(source, '?') AS document_id, coalesce(lang, '?') AS cluster_key, count(*) AS n_pages, greatest(3, floor(count(*) / 4.0)) AS least FROM documents GROUP BY ALL
+), counts AS (
+  SELECT document_id, cluster_key, text, {STRIP.format('text')} AS s, count(*) AS n, count(*) FILTER (conf >= 0.95) AS n_clean, count(*) FILTER (conf >= 0.9) AS n_confident, min((page, line_no)) AS first FROM lines GROUP BY ALL
+), canonical AS (
+  SELECT c.* FROM counts c JOIN sized z USING (document_id, cluster_key) WHERE c.n >= z.least AND length(c.text) >= 8
+)"""
+#: Standing lines without near misses: what is left of the tally once far more frequent near-twins have spoken.
+_TWIN = "abs(length(t.text) - length(f.text)) <= 3 AND f.n > t.n AND t.n <= greatest(1, floor(f.n * 0.25))"
+INDEX_SQL = rf"""
+std AS (
+  SELECT document_id, cluster_key, text, n_clean AS n FROM counts WHERE n_clean >= 3 AND length(text) >= 18
+), twins AS (
+  SELECT DISTINCT t.text AS a, f.text AS b FROM std t JOIN std f USING (document_id, cluster_key) WHERE {_TWIN} AND {bag_bound('t.text', 'f.text')} * 2 >= 0.9::DOUBLE * (length(t.text) + length(f.text))
+), {ratio_parts("twins", "twin_ratios")}, line_index AS (
+  SELECT document_id, cluster_key, text, n AS support FROM std t
+  WHERE NOT EXISTS (SELECT 1 FROM std f JOIN twin_ratios r ON r.b = f.text WHERE f.document_id = t.document_id AND f.cluster_key = t.cluster_key AND r.a = t.text AND {_TWIN} AND r.r >= 0.9::DOUBLE)
+)"""
+
+
+def _figures_kept(old: str, new: str, s_old: str, s_new: str) -> str:
+    n = PREFIX.format(s_old, s_new)
+    return f"((NOT regexp_matches({old}, {NUMERIC_SQL}) AND NOT regexp_matches({new}, {NUMERIC_SQL})) OR ({n} >= 20 AND NOT regexp_matches({s_new}[{n} + 1:], '\\d')))"
+
+
+#: Each distinct confident text with its nearest canonical, by the ratio or else by its opening.
+DISAGREE_SQL = rf"""
+probe AS (
+  SELECT * FROM counts c WHERE n_confident > 0 AND length(text) >= 8 AND NOT regexp_matches(text, '\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b')
+    AND NOT EXISTS (SELECT 1 FROM canonical k WHERE k.document_id = c.document_id AND k.cluster_key = c.cluster_key AND k.text = c.text)
+), judges AS (
+  SELECT p.document_id, p.cluster_key, p.text, p.s, k.text AS other, k.s AS ks, k.first
+  FROM probe p JOIN canonical k USING (document_id, cluster_key)
+  WHERE p.n <= greatest(1, floor(k.n * 0.25)) AND NOT regexp_matches(k.text, '\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b')
+    AND (abs(length(p.text) - length(k.text)) <= 3 OR (length(p.s) >= 20 AND left(p.s, 20) = left(k.s, 20)))
+), alike AS (
+  SELECT DISTINCT text AS a, other AS b FROM judges WHERE abs(length(text) - length(other)) <= 3 AND {bag_bound('text', 'other')} * 2 >= 0.9::DOUBLE * (length(text) + length(other))
+), {ratio_parts("alike", "alike_ratios")}, whole AS (
+  SELECT document_id, cluster_key, text, other AS canonical FROM judges j JOIN alike_ratios r ON r.a = j.text AND r.b = j.other
+  WHERE r.r > 0.9::DOUBLE AND {_figures_kept('j.text', 'j.other', 'j.s', 'j.ks')}
+  QUALIFY row_number() OVER (PARTITION BY document_id, cluster_key, text ORDER BY r.r DESC, first) = 1
+), opened AS (
+  SELECT *, {PREFIX.format('s', 'ks')} AS shared FROM judges j
+  WHERE length(s) >= 20 AND length(ks) >= 20 AND left(s, 20) = left(ks, 20) AND s <> ks AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.document_id = j.document_id AND w.cluster_key = j.cluster_key AND w.text = j.text)
+), by_opening AS (
+  SELECT document_id, cluster_key, text, other AS canonical FROM opened WHERE shared >= 0.4::DOUBLE * length(ks) AND {_figures_kept('text', 'other', 's', 'ks')}
+  QUALIFY row_number() OVER (PARTITION BY document_id, cluster_key, text ORDER BY shared DESC, first) = 1
+), contradicted AS (
+  SELECT *, {{classify}} AS kind FROM (SELECT * FROM whole UNION ALL SELECT * FROM by_opening)
+)"""
+
+
 def with_(*parts: str) -> str:
-    return "WITH " + ",".join(parts)
+    return "WITH RECURSIVE " + ",".join(parts)
 
 
 @query(with_(LINES_SQL) + r"""
@@ -120,6 +175,10 @@ def _classify_sql(a: str, b: str) -> str:
     )
 
 
+def _disagree_sql() -> str:
+    return DISAGREE_SQL.replace("{classify}", _classify_sql("text", "canonical"))
+
+
 @query(with_(LINES_SQL) + f"""
 SELECT page, line_no, {_classify_sql("text", "replace(text, ' ', '')")} AS k1, {_classify_sql("text", "text || '.'")} AS k2,
        {_classify_sql("text", "translate(text, 'AEIOU', 'aeiou')")} AS k3, {_classify_sql("text", "replace(text, 'e', 'a')")} AS k4 FROM lines""")
@@ -184,17 +243,21 @@ def _standing(counts: DataFrame) -> DataFrame:
 
 
 _WORDS = ["the", "and", "die", "der", "les", "des", "que", "los", "page", "note"]
+_ZIPF = {"the": 7.0, "that": 6.0, "with": 5.9, "for": 6.1, "con": 1.4, "nicht": 1.5, "dans": 1.6, "para": 1.2, "una": 1.49}
+_COMMON_SQL = ", ".join(f"'{w}'" for w, z in _ZIPF.items() if z >= 1.5 and w not in _WORDS)
 _WORDS_SQL = ", ".join(f"'{w}'" for w in _WORDS)
 
 
 @query(with_(LINES_SQL, TALLY_SQL) + rf""", close AS (
   SELECT *, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w FROM tally QUALIFY n * 1.5::DOUBLE >= max(n) OVER (PARTITION BY document_id, cluster_key, side, k)
 ), scored AS (
-  SELECT *, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: lower(x) IN ({_WORDS_SQL})))::DOUBLE / len(w)::DOUBLE END AS p FROM close
+  SELECT *, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE (len(list_filter(w, lambda x: lower(x) IN ({_WORDS_SQL})))::DOUBLE + 0.6::DOUBLE * len(list_filter(w, lambda x: lower(x) IN ({_COMMON_SQL})))::DOUBLE) / len(w)::DOUBLE END AS p FROM close
 )
 SELECT document_id, cluster_key, side, k, text, n AS support FROM scored QUALIFY row_number() OVER (PARTITION BY document_id, cluster_key, side, k ORDER BY p DESC, n DESC, text DESC) = 1""")
 def modal_tiebreak(spark, sf_dir):
-    return canon.choose(canon.slot_tally(ocr_pages(spark, sf_dir)), canon.SLOT, lambda c: canon.plausibility(c, _WORDS))
+    known = spark.createDataFrame([(w,) for w in _WORDS], "token string")
+    zipf = spark.createDataFrame([(w, z) for w, z in _ZIPF.items()], "token string, zipf double")
+    return canon.choose(canon.slot_tally(ocr_pages(spark, sf_dir)), canon.SLOT, lexical.Plausibility(known, lexical.table_frequencies(zipf)))
 
 
 def _low(pages: DataFrame) -> DataFrame:
@@ -249,6 +312,37 @@ toks AS (
 ), lexicon AS (SELECT document_id, token, count(*) AS freq FROM toks WHERE conf >= 0.95 GROUP BY ALL)"""
 
 
+#: The nearest attested token of each token in a low-confidence line, and these lines repaired.
+REPAIR_SQL = rf"""
+first_read AS (
+  SELECT document_id, token, min((page, line_no, tok_no)) AS first, {mask('token')} AS bits FROM (
+    SELECT document_id, page, line_no, unnest(regexp_extract_all(text, '[^\s\x1c-\x1f]+')) AS token, generate_subscripts(regexp_extract_all(text, '[^\s\x1c-\x1f]+'), 1) AS tok_no FROM lines WHERE conf >= 0.95)
+  WHERE length(token) >= 3 AND NOT regexp_matches(token, '^\p{{Nd}}+$') GROUP BY document_id, token
+), low_tokens AS (
+  SELECT document_id, page, line_no, unnest(regexp_extract_all(text, '[^\s\x1c-\x1f]+')) AS token, generate_subscripts(regexp_extract_all(text, '[^\s\x1c-\x1f]+'), 1) AS tok_no FROM {{low}}
+), strange AS (
+  SELECT document_id, token, {mask('token')} AS bits FROM (SELECT DISTINCT document_id, token FROM low_tokens t WHERE length(token) >= 3 AND NOT regexp_matches(token, '^\p{{Nd}}+$')
+    AND NOT EXISTS (SELECT 1 FROM first_read f WHERE f.document_id = t.document_id AND f.token = t.token))
+), near AS (
+  SELECT s.document_id, s.token, f.token AS other, f.first FROM strange s JOIN first_read f ON f.document_id = s.document_id AND length(f.token) BETWEEN length(s.token) - 2 AND length(s.token) + 2
+  WHERE {can_share('s.token', 'f.token', 's.bits', 'f.bits')} * 2 >= 0.72::DOUBLE * (length(s.token) + length(f.token))
+), words AS (
+  SELECT DISTINCT token AS a, other AS b FROM near WHERE {bag_bound('token', 'other')} * 2 >= 0.72::DOUBLE * (length(token) + length(other))
+), {ratio_parts("words", "word_ratios")}, nearest AS (
+  SELECT document_id, token, other AS best FROM near JOIN word_ratios r ON r.a = near.token AND r.b = near.other WHERE r.r >= 0.72::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY document_id, token ORDER BY r.r DESC, first) = 1
+), rebuilt AS (
+  SELECT document_id, page, line_no, string_agg(coalesce(best, token), ' ' ORDER BY tok_no) AS free FROM low_tokens LEFT JOIN nearest USING (document_id, token) GROUP BY ALL
+), told AS (
+  SELECT l.document_id, l.page, l.line_no, l.text, coalesce(free, '') AS free,
+         CASE WHEN regexp_matches(l.text, {NUMERIC_SQL}) THEN 'numeric' WHEN regexp_matches(l.text, '\d{{5,}}') THEN 'identifier' END AS held
+  FROM {{low}} l LEFT JOIN rebuilt r USING (document_id, page, line_no)
+), repairs AS (
+  SELECT document_id, page, line_no, CASE WHEN held IS NULL AND free <> text AND {_SQUEEZED.format('free')} <> {_SQUEEZED.format('text')} THEN free END AS repaired,
+         CASE WHEN held IS NOT NULL AND free <> text THEN held END AS guard, CASE WHEN held IS NOT NULL AND free <> text THEN free END AS naive FROM told
+)"""
+
+
 @query(with_(LINES_SQL, _LEXICON_SQL) + " SELECT document_id, token, freq FROM lexicon")
 def lexicon_counts(spark, sf_dir):
     return lexicon.build_lexicon(ocr_pages(spark, sf_dir)).select("document_id", "token", "freq")
@@ -418,10 +512,10 @@ def prefix_disagreements(spark, sf_dir):
   SELECT coalesce(d.source, '?') AS document_id, d.doc_id AS page, '=== page ' || d.doc_id || ' ===' || chr(10) || coalesce(b.body, '') AS body
   FROM documents d LEFT JOIN (SELECT page, string_agg(text, chr(10) ORDER BY line_no) AS body FROM lines GROUP BY page) b ON b.page = d.doc_id
 )
-SELECT document_id, length(string_agg(body, chr(10) || chr(10) || chr(10) ORDER BY page))::BIGINT AS n_chars, md5(string_agg(body, chr(10) || chr(10) || chr(10) ORDER BY page)) AS text_md5 FROM bodies GROUP BY document_id""")
+SELECT document_id, page, coalesce(sum(length(body) + 3) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(body)::BIGINT AS n_chars, md5(body) AS body_md5 FROM bodies""")
 def assemble_text(spark, sf_dir):
     pages = ocr_pages(spark, sf_dir).withColumn("corrected", F.transform("lines", lambda x: x["text"]))
-    return sink.assemble_text(pages).select("document_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return sink.assembled(pages).select("document_id", F.col("page_number").alias("page"), "start", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 @query(with_(LINES_SQL) + r""", drawn AS (
@@ -473,49 +567,161 @@ def review_rules(spark, sf_dir):
     return rules.rules_and_warnings(given)[0].select("ord", "page", "original", "corrected", "scope")
 
 
-# --- with similarity ratios, which SQL here lacks: tested against brute force ---------------
+# --- with similarity ratios ------------------------------------------------------------------
 
 
-@query()
+@query(with_(LINES_SQL, COUNTS_SQL, INDEX_SQL) + " SELECT document_id, cluster_key, text, support FROM line_index")
 def near_miss_drop(spark, sf_dir):
     return canon.line_index(canon.text_counts(ocr_pages(spark, sf_dir))).select(*CLUSTER, "text", "support")
 
 
-@query()
+@query(with_(LINES_SQL, " low AS (SELECT * FROM lines WHERE conf < 0.9)", REPAIR_SQL.replace("{low}", "low")) + " SELECT document_id, page AS page_ord, line_no, repaired, guard, naive FROM repairs")
 def lexicon_repair(spark, sf_dir):
     pages = ocr_pages(spark, sf_dir)
     out = lexicon.repair(_low(pages).select(*lexicon.LINE_KEY, "text"), lexicon.build_lexicon(pages))
     return out.select(*lexicon.LINE_KEY, "repaired", "guard", "naive")
 
 
-@query()
+@query(with_(LINES_SQL, COUNTS_SQL, _disagree_sql()) + " SELECT document_id, cluster_key, text, canonical, kind FROM contradicted")
 def disagreements(spark, sf_dir):
     pages = ocr_pages(spark, sf_dir)
     counts = canon.text_counts(pages)
     return disagree.disagreeing_texts(counts, disagree.canonical_counts(counts, cluster_info(pages)))
 
 
+_ANCHORS = "regexp_extract_all({0}, '[A-Za-z0-9]{{3,}}')"
+#: The whole chain with default settings, up to ``finals``: every line that may change, with what each step makes of it.
+CHAIN_SQL = rf"""
+low_lines AS (
+  SELECT l.*, z.n_pages >= 4 AS can_vote, {STRIP.format('l.text')} AS s FROM lines l JOIN sized z USING (document_id, cluster_key) WHERE l.conf < 0.9
+), slot_pairs AS (
+  SELECT *, len(list_filter({_ANCHORS.format('s')}, lambda g: len(list_filter({_ANCHORS.format('os')}, lambda c: contains(c, g) OR contains(g, c))) > 0)) > 0 AS is_anchored FROM (
+    SELECT l.document_id, l.page, l.line_no, l.s, t.text AS other, {STRIP.format('t.text')} AS os, t.support
+    FROM low_lines l JOIN slots t ON l.document_id = t.document_id AND l.cluster_key = t.cluster_key AND t.support >= 3 AND t.text <> l.text
+      AND ((t.side = 'top' AND t.k = l.line_no) OR (t.side = 'bottom' AND t.k = l.n_lines - 1 - l.line_no))
+    WHERE l.can_vote)
+  WHERE s <> '' AND os <> ''
+), slot_asked AS (
+  SELECT DISTINCT s AS a, os AS b FROM slot_pairs WHERE NOT is_anchored AND {bag_bound('s', 'os')} * 2 >= 0.25::DOUBLE * (length(s) + length(os))
+), {ratio_parts("slot_asked", "slot_ratios")}, slot_best AS (
+  SELECT document_id, page, line_no, other FROM slot_pairs p LEFT JOIN slot_ratios r ON r.a = p.s AND r.b = p.os WHERE p.is_anchored OR r.r >= 0.25::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY document_id, page, line_no ORDER BY support DESC, other DESC) = 1
+), prefix_best AS (
+  SELECT l.document_id, l.cluster_key, l.text, i.text AS other
+  FROM (SELECT DISTINCT document_id, cluster_key, text, s FROM low_lines WHERE can_vote) l
+  JOIN (SELECT *, {STRIP.format('text')} AS s FROM line_index) i ON l.document_id = i.document_id AND l.cluster_key = i.cluster_key AND left(l.s, 12) = left(i.s, 12)
+  WHERE length(l.s) >= 12 AND length(i.s) >= 12 AND l.text <> i.text
+  QUALIFY row_number() OVER (PARTITION BY l.document_id, l.cluster_key, l.text ORDER BY {PREFIX.format('l.s', 'i.s')} DESC, i.support DESC, i.text) = 1
+), placed AS (
+  SELECT l.*, coalesce(b.other, p.other) AS new_text, {STRIP.format('coalesce(b.other, p.other)')} AS new_s
+  FROM low_lines l LEFT JOIN slot_best b USING (document_id, page, line_no) LEFT JOIN prefix_best p ON l.can_vote AND p.document_id = l.document_id AND p.cluster_key = l.cluster_key AND p.text = l.text
+), boiler AS (
+  SELECT *, CASE WHEN new_text IS NOT NULL AND {_figures_kept('text', 'new_text', 's', 'new_s')} AND {_SQUEEZED.format('text')} <> {_SQUEEZED.format('new_text')} THEN new_text END AS boilerplate,
+         CASE WHEN new_text IS NOT NULL AND NOT {_figures_kept('text', 'new_text', 's', 'new_s')} THEN 'figure' END AS held_by
+  FROM placed
+), rest AS (
+  SELECT document_id, page, line_no, text FROM boiler WHERE boilerplate IS NULL
+), {REPAIR_SQL.replace("{low}", "rest")}, found AS (
+  SELECT l.*, c.canonical, c.kind FROM lines l JOIN contradicted c USING (document_id, cluster_key, text) WHERE l.conf >= 0.9
+), work AS (
+  SELECT b.document_id, b.cluster_key, b.page, b.line_no, b.text, b.conf, b.can_vote, b.boilerplate, b.held_by, b.new_text, r.repaired, r.guard, r.naive FROM boiler b LEFT JOIN repairs r USING (document_id, page, line_no)
+  UNION ALL SELECT document_id, cluster_key, page, line_no, text, conf, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lines WHERE conf >= 0.9 AND regexp_matches(text, '[^\x00-\x7F]')
+  UNION ALL SELECT document_id, cluster_key, page, line_no, text, conf, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM found WHERE kind <> 'disagrees' AND NOT regexp_matches(text, '[^\x00-\x7F]')
+), step2 AS (
+  SELECT *, coalesce(boilerplate, repaired, text) AS s2 FROM work
+), spelled AS (
+  SELECT document_id, cluster_key, s2, coalesce(o.n, 0) AS own,
+         CASE WHEN c1 <> s2 AND {STRIP.format('c1')} <> '' AND e1.n >= 3 AND e1.n > coalesce(o.n, 0) THEN c1 WHEN c2 <> s2 AND {STRIP.format('c2')} <> '' AND e2.n >= 3 AND e2.n > coalesce(o.n, 0) THEN c2 ELSE s2 END AS plain
+  FROM (SELECT DISTINCT document_id, cluster_key, s2, strip_accents(s2) AS c1, regexp_replace(strip_accents(s2), '[^\x00-\x7F]', '', 'g') AS c2 FROM step2 WHERE regexp_matches(s2, '[^\x00-\x7F]')) x
+  LEFT JOIN (SELECT document_id, cluster_key, text AS s2, n FROM counts) o USING (document_id, cluster_key, s2)
+  LEFT JOIN (SELECT document_id, cluster_key, text AS c1, n FROM counts) e1 USING (document_id, cluster_key, c1)
+  LEFT JOIN (SELECT document_id, cluster_key, text AS c2, n FROM counts) e2 USING (document_id, cluster_key, c2)
+), step3 AS (
+  SELECT w.*, CASE WHEN p.plain <> w.s2 THEN p.plain END AS ascii, coalesce(p.plain = w.s2 AND p.own < 3, false) AS is_unresolved FROM step2 w LEFT JOIN spelled p USING (document_id, cluster_key, s2)
+), adopted AS (
+  SELECT DISTINCT document_id, page, text, canonical FROM found WHERE kind <> 'disagrees'
+), step4 AS (
+  SELECT w.*, coalesce(w.ascii, w.s2) AS s4, CASE WHEN coalesce(w.boilerplate, w.repaired, w.ascii) IS NULL AND a.canonical <> coalesce(w.ascii, w.s2) THEN a.canonical END AS typography
+  FROM step3 w LEFT JOIN adopted a USING (document_id, page, text)
+), done AS (
+  SELECT *, coalesce(typography, s4) AS final FROM step4
+), changes AS (
+  SELECT document_id, page, line_no, 1 AS seq, 'boilerplate' AS kind, text AS old, boilerplate AS new FROM done WHERE boilerplate IS NOT NULL
+  UNION ALL SELECT document_id, page, line_no, 2, 'lexicon', text, repaired FROM done WHERE repaired IS NOT NULL
+  UNION ALL SELECT document_id, page, line_no, 3, 'ascii', text, ascii FROM done WHERE ascii IS NOT NULL
+  UNION ALL SELECT document_id, page, line_no, 5, 'typography', text, typography FROM done WHERE typography IS NOT NULL
+), finals AS (
+  SELECT l.document_id, l.cluster_key, l.page, l.line_no, l.n_lines, l.text, l.conf, coalesce(d.final, l.text) AS corrected FROM lines l LEFT JOIN done d USING (document_id, page, line_no)
+)"""
+_CHAIN = with_(LINES_SQL, COUNTS_SQL, SLOTS_SQL, INDEX_SQL, _disagree_sql(), CHAIN_SQL)
+
+
+def _quoted_sql(c: str) -> str:
+    one, two, back = "chr(39)", "chr(34)", "chr(92)"
+    raw = f"replace(replace(replace(replace({c}, {back}, {back} || {back}), chr(10), {back} || 'n'), chr(13), {back} || 'r'), chr(9), {back} || 't')"
+    return f"CASE WHEN contains({c}, {one}) AND NOT contains({c}, {two}) THEN {two} || {raw} || {two} ELSE {one} || replace({raw}, {one}, {back} || {one}) || {one} END"
+
+
+#: Rows of a review file: changes, disagreements, guards, spellings without evidence, lines left.
+REVIEW_SQL = rf"""
+, flagged AS (
+  SELECT document_id, page, line_no, 0 AS part, kind AS status, old AS original, new AS tool, CASE WHEN kind = 'typography' THEN 'spacing, punctuation or case adopted from the canonical' ELSE '' END AS notes, NULL::DOUBLE AS own_conf, NULL AS other FROM changes
+  UNION ALL SELECT document_id, page, line_no, 1, kind, text, text, '', conf, canonical FROM found f WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.document_id = f.document_id AND c.page = f.page AND c.old = f.text)
+  UNION ALL SELECT document_id, page, line_no, 3, 'protected', text, text, held_by || ' guard prevented ' || {_quoted_sql('new_text')}, NULL, NULL FROM done WHERE held_by IS NOT NULL
+  UNION ALL SELECT document_id, page, line_no, 3, 'protected', text, text, guard || ' guard prevented ' || {_quoted_sql('naive')}, NULL, NULL FROM done WHERE guard IS NOT NULL
+  UNION ALL SELECT document_id, page, line_no, 4, 'nonascii', s2, s2, 'non-ASCII character with no corpus evidence for folding', conf, NULL FROM done WHERE is_unresolved
+  UNION ALL SELECT document_id, page, line_no, 5, 'uncorrected', text, text, CASE WHEN can_vote THEN 'fewer than 3 clean sibling reads for this line' ELSE 'format cluster too small for consensus (needs 4 pages)' END, conf, NULL
+    FROM done WHERE conf < 0.9 AND coalesce(boilerplate, repaired, ascii, typography) IS NULL
+), read_on AS (
+  SELECT document_id, page, text AS original, arg_max(conf, line_no) AS page_conf FROM lines GROUP BY ALL
+), often AS (SELECT document_id, text, count(*) AS n FROM lines GROUP BY ALL)
+SELECT document_id, 'p' || lpad(page::VARCHAR, greatest(4, length(page::VARCHAR))::INT, '0') || '-' || left(sha1(original), 8) AS rule_id, document_id AS file, page::VARCHAR AS page,
+       CASE WHEN part = 3 THEN '' WHEN part = 0 THEN printf('%.2f', coalesce(page_conf, 0.0::DOUBLE)) ELSE printf('%.2f', own_conf) END AS conf, coalesce(o.n, 1)::VARCHAR AS count, status,
+       original AS original_text, tool AS tool_text, '' AS corrected_text, '' AS scope,
+       CASE WHEN part = 1 THEN 'confident, but ' || coalesce(x.n, 0) || ' pages read ' || {_quoted_sql('other')} ELSE notes END AS notes
+FROM flagged f LEFT JOIN read_on r USING (document_id, page, original) LEFT JOIN (SELECT document_id, text AS original, n FROM often) o USING (document_id, original) LEFT JOIN (SELECT document_id, text AS other, n FROM often) x USING (document_id, other)"""
+#: What corrected pages teach: slots, and standing lines without near misses.
+LEARNED_SQL = rf"""
+, trusted AS (
+  SELECT *, corrected AS t FROM finals WHERE NOT regexp_matches(corrected, {NUMERIC_SQL}) AND (conf >= 0.95 OR corrected <> text)
+), learned_slots AS (
+  SELECT document_id, cluster_key, side || ':' || k AS slot, t AS text FROM (
+    SELECT document_id, cluster_key, side, k, t, count(*) AS n FROM (
+      SELECT document_id, cluster_key, 'top' AS side, line_no AS k, t FROM trusted UNION ALL SELECT document_id, cluster_key, 'bottom', n_lines - 1 - line_no, t FROM trusted) WHERE k < 4 GROUP BY document_id, cluster_key, side, k, t
+    QUALIFY row_number() OVER (PARTITION BY document_id, cluster_key, side, k ORDER BY count(*) DESC, t) = 1)
+  WHERE n >= 3
+), learned AS (
+  SELECT document_id, cluster_key, t AS text, count(*) AS n FROM trusted WHERE length(t) >= 18 GROUP BY ALL HAVING count(*) >= 3
+), learned_pairs AS (
+  SELECT DISTINCT t.text AS a, f.text AS b FROM learned t JOIN learned f USING (document_id, cluster_key) WHERE {_TWIN} AND {bag_bound('t.text', 'f.text')} * 2 >= 0.9::DOUBLE * (length(t.text) + length(f.text))
+), {ratio_parts("learned_pairs", "learned_ratios")}
+SELECT document_id, cluster_key, slot, text FROM learned_slots
+UNION ALL SELECT document_id, cluster_key, 'line', text FROM learned t
+WHERE NOT EXISTS (SELECT 1 FROM learned f JOIN learned_ratios r ON r.b = f.text WHERE f.document_id = t.document_id AND f.cluster_key = t.cluster_key AND r.a = t.text AND {_TWIN} AND r.r >= 0.9::DOUBLE)"""
+
+
 def corrected(spark: SparkSession, sf_dir: str) -> Correction:
     return correct(ocr_pages(spark, sf_dir))
 
 
-@query()
+@query(_CHAIN + " SELECT document_id, page AS page_ord, line_no, text, conf, corrected FROM finals")
 def correct_lines(spark, sf_dir):
     return corrected(spark, sf_dir).lines.select("document_id", "page_ord", "line_no", "text", "conf", "corrected")
 
 
-@query()
+@query(_CHAIN + " SELECT document_id, page AS page_ord, page AS page_number, line_no, seq, kind, old, new FROM changes")
 def correct_changes(spark, sf_dir):
     return corrected(spark, sf_dir).changes
 
 
-@query()
+@query(_CHAIN + REVIEW_SQL)
 def review_rows(spark, sf_dir):
     return review.build_rows(corrected(spark, sf_dir)).drop("seq")
 
 
-@query()
+@query(_CHAIN + LEARNED_SQL)
 def learned_profile(spark, sf_dir):
-    done = corrected(spark, sf_dir)
-    slots, lines = review.learn_profile(done.pages)
-    return review.profile_json(slots, lines, done.clusters)
+    """What ``review.profile_json`` nests, as rows; its JSON has tests of its own."""
+    slots, lines = review.learn_profile(corrected(spark, sf_dir).pages)
+    named = slots.select(*CLUSTER, F.concat_ws(":", "side", "k").alias("slot"), "text")
+    return named.unionByName(lines.select(*CLUSTER, F.lit("line").alias("slot"), "text"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import json
+from pathlib import PurePath
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemend.operators.review import review_order
@@ -24,14 +25,43 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("document_id", "page_ord", "page_number", F.concat(marker, F.lit("\n"), F.array_join("corrected", "\n")).alias("body"))
 
 
-def assemble_text(pages: DataFrame) -> DataFrame:
-    """(document_id, text): pages by number, apart by two blank lines."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "page_ord", "body")))
-    return page_texts(pages).groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda p: p["body"]), PAGE_GAP).alias("text"))
+def assembled(pages: DataFrame) -> DataFrame:
+    """(document_id, page_ord, page_number, start, body): where in its document's text each page's body lies.
+
+    The text is the bodies by page number, two blank lines apart; a document is never one row.
+    """
+    bodies = page_texts(pages).withColumn("n", F.length("body").cast("long"))
+    before = Window.partitionBy("document_id").orderBy("page_number", "page_ord").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n") + len(PAGE_GAP)).over(before), F.lit(0))
+    places = bodies.select("document_id", "page_ord", "page_number", "n").withColumn("start", start).drop("n")  # numbers only
+    return bodies.drop("n").join(places, ["document_id", "page_ord", "page_number"]).select("document_id", "page_ord", "page_number", "start", "body")
+
+
+def stream_text(pages: DataFrame, out) -> int:
+    """The text of one document to an open file, page by page; the driver holds one partition at most. Returns its pages."""
+    n = 0
+    for row in page_texts(pages).orderBy("document_id", "page_number", "page_ord").toLocalIterator():
+        out.write((PAGE_GAP if n else "") + row.body)
+        n += 1
+    out.write("\n")
+    return n
+
+
+def write_texts(pages: DataFrame, folder: str) -> None:
+    """A folder of text files for each document: its part files in the order of their names are the text."""
+    last = F.lead("page_number").over(Window.partitionBy("document_id").orderBy("page_number", "page_ord")).isNull()
+    flagged = pages.select("document_id", "page_ord", "page_number").withColumn("__last", last)  # numbers only
+    bodies = page_texts(pages).join(flagged, ["document_id", "page_ord", "page_number"])
+    value = F.when(F.col("__last"), F.col("body")).otherwise(F.concat("body", F.lit(PAGE_GAP[1:])))  # the writer ends each row's line
+    rows = bodies.select("document_id", "page_number", "page_ord", value.alias("value"))
+    parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, "document_id", "page_number", "page_ord").sortWithinPartitions("document_id", "page_number", "page_ord")
+    ordered.select("document_id", "value").write.partitionBy("document_id").text(folder)
 
 
 def delimiter_for(path: str) -> str:
-    return "," if str(path).lower().endswith(".csv") else "\t"
+    """Commas for names in .csv, else tabs."""
+    return {".csv": ","}.get(PurePath(path).suffix.lower(), "\t")
 
 
 def write_review(rows: DataFrame, path: str) -> int:

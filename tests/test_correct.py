@@ -6,7 +6,7 @@ Documents are corrected together, as the engine does; each test looks at its own
 import pytest
 from pyspark.sql import functions as F
 
-from pagemend.operators import canon, errors, fold
+from pagemend.operators import canon, errors, fold, lexical
 from pagemend.operators.cluster import cluster_info, cluster_pages
 from pagemend.schema import NO_CANONICAL, NO_SUPPORT, lines_of, pages_of
 from tests.fixtures import BRAND, FOOTER, footer_doc, many, pages, rows, run
@@ -198,11 +198,28 @@ def test_modal_choice(spark):
     tallies = {"a": {"Fax#": 2, "#ax#": 2}, "b": {"#ax#": 3, "Fax#": 2}, "c": {"aount": 40, "amount": 1}}
     table = spark.createDataFrame([(k, t, n) for k, x in tallies.items() for t, n in x.items()], "key string, text string, n long")
     assert rows(canon.choose(table, ["key"]), "key", "text") == [("a", "#ax#"), ("b", "#ax#"), ("c", "aount")]
-    plain = canon.choose(table, ["key"], lambda c: canon.plausibility(c, ["fax", "amount", "galaxsea"]))
+    names = spark.createDataFrame([("fax",), ("amount",), ("galaxsea",)], "token string")
+    plain = canon.choose(table, ["key"], lexical.Plausibility(names))
     assert rows(plain, "key", "text", "support") == [("a", "Fax#", 2), ("b", "Fax#", 2), ("c", "aount", 40)]
+    assert rows(canon.choose(table, ["key"], lambda c: F.contains(c, F.lit("F")).cast("double")), "key", "text") == [("a", "Fax#"), ("b", "Fax#"), ("c", "aount")]
     zipf = spark.createDataFrame([("fax", 4.0), ("rare", 1.0)], "token string, zipf double")
-    got = spark.createDataFrame([("Fax rare",), ("12",)], "t string").select(canon.plausibility("t", ["rare"], zipf).alias("p"))
-    assert [r.p for r in got.collect()] == [0.8, 0.0]
+    texts = spark.createDataFrame([("Fax rare",), ("12",), ("Fax rare",), ("Fax seldom",)], "text string")
+    known = spark.createDataFrame([("rare",)], "token string")
+    got = {r.text: r.p for r in lexical.Plausibility(known, lexical.table_frequencies(zipf)).scores(texts).collect()}
+    assert got == {"Fax rare": 0.8, "12": 0.0, "Fax seldom": 0.3}
+    assert {r.p for r in lexical.Plausibility().scores(texts).collect()} == {0.0}
+
+
+def test_frequency_file(spark, tmp_path):
+    path = tmp_path / "f.tsv"
+    path.write_text("The\t7.7\nodd line\nzyx\tnone\n the \t7.1\nInvoice\t4.0\n")
+    assert rows(lexical.read_frequencies(spark, str(path)), "token", "zipf") == [("invoice", 4.0), ("the", 7.7)]
+
+
+def test_vouched_texts(spark):
+    known = spark.createDataFrame([("seku",), ("a1",)], "token string")
+    texts = spark.createDataFrame([("SEKU - a1!",), ("SEKU x",), ("...",), ("SEKU - a1!",)], "text string")
+    assert rows(lexical.vouched_texts(texts, known), "text") == [("SEKU - a1!",)]
 
 
 def test_fold_candidates(spark):

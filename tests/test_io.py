@@ -2,6 +2,7 @@
 
 import io
 import json
+import logging
 import zipfile
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemend import cli
 from pagemend.operators import errors, review
 from pagemend.plans.correct import correct
+from pagemend.preflight import Use, complaints
 from pagemend.schema import lines_of
 from pagemend.sinks import pdf
 from pagemend.sinks import text as sink
@@ -74,7 +76,15 @@ def test_bundles_images_and_kinds(spark, tmp_path):
     if not container.available_renderer():
         with pytest.raises(RuntimeError, match="pypdfium2"):
             container.rasterize(b"%PDF-1.7")
-    assert container.native_dpi(b"%PDF") == 0 or container.available_renderer()
+    mixed = spark.createDataFrame([("a/x.jpg", bytearray(b"\xff\xd8\xff\xe0")), ("a/bad.zip", bytearray(b"PK\x03\x04broken")), ("a/odd", bytearray(b"garbage!")), ("a/none", None)], "document_id string, content binary")
+    told = {r.document_id: (r.name, r.error) for r in container.enumerate_pages(mixed, strict=False).collect()}
+    assert told["a/x.jpg"] == ("x.jpg", None) and told["a/bad.zip"][1].startswith("BadZipFile") and told["a/odd"][1] == told["a/none"][1] == "ValueError: unrecognized container: unknown"
+
+
+def test_resolution_of_images(spark):
+    found = spark.createDataFrame([("d", 0, 299.6, 200.0), ("d", 3, None, 399.5), ("e", 0, 0.0, None), ("f", 0, None, None)], "document_id string, page int, horizontal double, vertical double")
+    assert rows(container.native_dpi(found), "document_id", "native") == [("d", 400)]
+    assert container.image_resolutions(spark.createDataFrame([("d", bytearray(b"garbage"))], "document_id string, content binary")).count() == 0
 
 
 def test_recognizer_plugin(spark):
@@ -82,12 +92,31 @@ def test_recognizer_plugin(spark):
         return lambda data: [(data.decode(), 0.5, [[3, 9], [1, 9], [1, 2], [3, 2]]), ("no box", 1, None)]
 
     container.register_recognizer("fake", factory)
-    images = spark.createDataFrame([("d", 0, "a", bytearray(b"one"))], container.IMAGES)
+    images = spark.createDataFrame([("d", 0, "a", bytearray(b"one"), None)], container.IMAGES)
     (row,) = container.recognize(images, "fake").collect()
     assert row.page_number == 1 and [(x.text, x.conf) for x in row.lines] == [("one", 0.5), ("no box", 1.0)]
     assert tuple(row.lines[0].box) == (1.0, 2.0, 3.0, 9.0) and row.lines[1].box is None
     with pytest.raises(RuntimeError, match="isn't registered"):
         container.recognize(images, "missing")
+    container.register_recognizer("absent", factory, lambda: False)
+    assert container.recognizer_available("fake") and not container.recognizer_available("absent") and not container.recognizer_available("missing")
+    with pytest.raises(RuntimeError, match="can't run here"):
+        container.recognize(images, "absent")
+
+
+def test_engine_notes_are_dropped(monkeypatch):
+    import sys
+    import types
+
+    class Engine:
+        def __call__(self, image):
+            return types.SimpleNamespace(txts=["a", "b"], scores=[0.5, 1], boxes=[[[0, 0], [1, 0], [1, 1], [0, 1]]]) if image else types.SimpleNamespace()
+
+    monkeypatch.setitem(sys.modules, "rapidocr", types.SimpleNamespace(RapidOCR=Engine))
+    read = container._rapidocr()
+    assert read(b"x") == [("a", 0.5, [[0, 0], [1, 0], [1, 1], [0, 1]]), ("b", 1, None)] and read(b"") == []
+    assert not logging.getLogger("RapidOCR").filter(logging.LogRecord("RapidOCR", logging.INFO, "", 0, "note", (), None))
+    assert logging.getLogger("RapidOCR").filter(logging.LogRecord("RapidOCR", logging.WARNING, "", 0, "note", (), None))
 
 
 # --- review ------------------------------------------------------------------
@@ -202,11 +231,24 @@ def test_text_layer(spark):
 def test_layered_pages_and_text(spark, done):
     layer = {r.page_number: r.layer for r in sink.layered_pages(done.pages).collect()}
     assert layer[99][4].text == FOOTER and layer[1][4].box.x1 == 50.0 and layer[1][0].box is None
-    (row,) = sink.assemble_text(done.pages).collect()
-    assert row.text.startswith(f"=== page 1 ===\n{BRAND}\nC/O 1\n") and row.text.count("\n\n\n=== page ") == 6
+    held = io.StringIO()
+    assert sink.stream_text(done.pages, held) == 7
+    text = held.getvalue()
+    assert text.startswith(f"=== page 1 ===\n{BRAND}\nC/O 1\n") and text.count("\n\n\n=== page ") == 6 and text.endswith("\n")
+    assert all(text[r.start : r.start + len(r.body)] == r.body for r in sink.assembled(done.pages).collect())
     assert pdf.problem(None, done.pages)
 
 
+def test_texts_of_many_documents(spark, done, tmp_path):
+    two = done.pages.unionByName(done.pages.withColumn("document_id", F.lit("other")).filter("page_number < 3")).repartition(5)
+    sink.write_texts(two, str(tmp_path / "texts"))
+    for name in [r.document_id for r in two.select("document_id").distinct().collect()]:
+        held = io.StringIO()
+        sink.stream_text(two.filter(F.col("document_id") == name), held)
+        parts = sorted((tmp_path / "texts" / f"document_id={name}").glob("part-*"))
+        assert "".join(p.read_text() for p in parts) == held.getvalue()
+
+
 # --- command line ------------------------------------------------------------
 
 
@@ -220,10 +262,22 @@ def test_usage_errors(tmp_path, capsys):
         with pytest.raises(SystemExit) as stop:
             cli.main(bad)
         assert stop.value.code == 2
-    assert "refusing to overwrite" in capsys.readouterr().err
+    said = capsys.readouterr().err
+    assert "would replace the source" in said and "--force wasn't given" in said and "all mean the one file" in said and "its folder is missing" in said
     assert there.read_text() == "x"
 
 
+def test_paths_are_compared_as_files(tmp_path):
+    source, other = tmp_path / "s.json", tmp_path / "o.txt"
+    source.write_text("{}"), other.write_text("")
+    (tmp_path / "link").symlink_to(source)
+    told = lambda writes, force=True: complaints([Use("--cached", str(source))], [Use(f"--{i}", str(w)) for i, w in enumerate(writes)], str(source), force)
+    assert told([other, tmp_path / "new"]) == [] and len(told([other], False)) == 1
+    assert "never done" in told([tmp_path / "link"])[0] and "never done" in told([tmp_path / "." / "s.json"], False)[0]
+    assert "all mean" in told([tmp_path / "x", tmp_path / "." / "x"])[0]
+    assert complaints([Use("--profile", str(tmp_path)), Use("--review-in", None)], [], None, False) == [f"--profile {str(tmp_path)!r}: a file is needed here, this is a folder"]
+
+
 def test_run(spark, tmp_path, capsys):
     source = dump(tmp_path / "in.json", footer_doc(4))
     out, reviewed, learned = (str(tmp_path / n) for n in ("o.txt", "r.tsv", "p.json"))

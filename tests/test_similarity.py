@@ -3,14 +3,15 @@
 from difflib import SequenceMatcher
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemend.functions.similarity import bag_keys, ratio, ratio_value
+from pagemend.functions.similarity import nearest_words, ratio, ratio_value
 from pagemend.functions.text import classify, common_prefix, core_of, figure_safe, resolve_dpi, rule_id, strip, two_places
 from pagemend.operators import disagree, lexicon
 from pagemend.operators.blocking import near_pairs
+from pagemend.operators.openings import longest_opening
 
 WORDS = st.text("abcdeABé1.", min_size=3, max_size=14)
 
@@ -19,15 +20,22 @@ def plain(a, b):
     return SequenceMatcher(None, a, b).ratio()
 
 
-@settings(max_examples=400, deadline=None)
-@given(WORDS, st.lists(st.tuples(st.integers(0, 13), st.sampled_from("abcxé")), max_size=3), st.integers(-2, 2))
-def test_bag_keys_lose_no_pair(a, edits, cut):
-    b = list(a)
-    for at, c in edits:
-        b[at % len(b)] = c
-    b = "".join(b)[: len(b) + min(0, cut)] + "z" * max(0, cut)
-    if len(b) >= 3 and abs(len(a) - len(b)) <= 2 and plain(a, b) >= 0.72:
-        assert set(bag_keys(a, 2, 0.72, 3)) & set(bag_keys(b, 2, 0.72, 3))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(WORDS, st.text("ab", min_size=60, max_size=70), st.text("aé😀", min_size=3, max_size=9)), min_size=1, max_size=12), st.lists(st.text("abcdeABé1.", min_size=6, max_size=6), min_size=1, max_size=25, unique=True), st.integers(1, 3))
+def test_nearest_words_against_all_pairs(asked, others, block):
+    places = [(i * 7 % 25, i) for i in range(len(others))]
+    want = {}
+    for i, a in enumerate(asked):
+        value, _, j = max((plain(a, b), tuple(-x for x in places[j]), j) for j, b in enumerate(others))
+        if value >= 0.72:
+            want[i] = (value, j)
+    assert {i: (value, j) for i, value, j in nearest_words(asked, others, places, 0.72, block)} == want
+
+
+def test_words_longer_than_a_machine_word():
+    base = "abcdefghij" * 7
+    others = [base[:35] + "X" + base[36:], "z" * 70, base[:-1] + "Y"]
+    assert nearest_words([base, base[1:] + "q"], others, [2, 1, 0], 0.72) == [(0, plain(base, others[2]), 2), (1, plain(base[1:] + "q", others[2]), 2)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -144,3 +152,27 @@ def test_resolution(spark):
     for native, requested, dpi, said in cases:
         got = one(spark, *resolve_dpi(F.lit(native), F.lit(requested).cast("int")))
         assert got[:2] == (dpi, native) and got[2].endswith(said) and bool(got[2]) == bool(said)
+
+
+def brute_opening(texts, lines, least):
+    want = {}
+    for text in texts:
+        best = None
+        for other, place in lines:
+            a, b = text.strip(), other.strip()
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            if other != text and n >= least and len(b) >= least and (best is None or (-n, place) < best[:2]):
+                best = (-n, place, other)
+        if best is not None:
+            want[text] = best[2]
+    return want
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.sets(st.text("abé😀 ", min_size=1, max_size=9), max_size=40), st.sets(st.text("abé😀 ", min_size=1, max_size=9), max_size=40), st.randoms())
+def test_longest_opening_against_all_pairs(spark, texts, lines, random):
+    places = [(0, i, t) for i, t in enumerate(random.sample(sorted(lines), len(lines)))]
+    given_ = spark.createDataFrame([("d", "A", t, p) for p in places for t in [p[2]]], "document_id string, cluster_key string, other string, ord struct<asserted: int, by: long, t: string>")
+    asked = spark.createDataFrame([("d", "A", t) for t in texts], "document_id string, cluster_key string, text string")
+    got = {r.text: r.other for r in longest_opening(asked, given_, ["document_id", "cluster_key"], 2).collect()}
+    assert got == brute_opening(texts, [(p[2], p) for p in places], 2)
