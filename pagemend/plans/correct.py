@@ -88,18 +88,19 @@ def correct(
         slots, index = canon.assert_slots(slots, clusters, slots_p), canon.assert_lines(index, clusters, lines_p)
     words = cut(lexicon.build_lexicon(clustered))
     canonical = disagree.canonical_counts(counts, clusters, lines_p)
-    contradicted = cut(disagree.disagreeing_texts(counts, canonical, disagree_ratio))
-    occurrences = cut(lines.join(contradicted, [*CLUSTER, "text"]))
-    found = occurrences.filter(F.col("conf") >= conf_gate)
+    contradicted = disagree.disagreeing_texts(counts, canonical, disagree_ratio)
+    found = cut(lines.filter(F.col("conf") >= conf_gate).join(contradicted, [*CLUSTER, "text"]))
 
     # low-confidence lines: boilerplate, then lexicon
     low = cut(lines.filter(F.col("conf") < conf_gate).join(clusters.select(*CLUSTER, "can_vote"), CLUSTER))
     placed = recover.recover(low.filter("can_vote"), slots, index, known)
     nothing = [F.lit(None).cast("string").alias(c) for c in ("boilerplate", "guard", "refused")]
-    placed = cut(placed.unionByName(low.filter("not can_vote").select(*low.columns, *nothing)))
-    repaired = lexicon.repair(placed.filter("boilerplate is null").select(*LINE_KEY, "text"), words, known)
-    repaired = repaired.withColumnRenamed("guard", "lex_guard")
-    low2 = placed.join(repaired, LINE_KEY, "left")
+    placed = placed.unionByName(low.filter("not can_vote").select(*low.columns, *nothing))
+    # repaired whether or not a canonical is found, which outranks it: neither step waits for the other
+    repaired = lexicon.repair(low.select(*LINE_KEY, "text"), words, known).withColumnRenamed("guard", "lex_guard")
+    both = placed.join(repaired, LINE_KEY, "left")
+    mine = [F.when(F.col("boilerplate").isNull(), F.col(c)).alias(c) for c in ("repaired", "lex_guard", "naive", "vouched")]
+    low2 = both.select(*placed.columns, *mine)
 
     # confident lines that later stages may touch
     special = has_non_ascii("text") | errors.mentions("text", error_patterns) if error_patterns else has_non_ascii("text")
@@ -113,10 +114,7 @@ def correct(
     if ascii_mode == fold.OFF:
         work = work.withColumn("ascii", F.lit(None).cast("string")).withColumn("unresolved", F.lit(False))
     else:
-        work = cut(work)
-        texts = work.filter(has_non_ascii("s2")).select(*CLUSTER, F.col("s2").alias("text")).distinct()
-        plain = fold.fold_texts(texts, counts, ascii_mode).select(*CLUSTER, F.col("text").alias("s2"), "plain", "own")
-        work = work.join(plain, [*CLUSTER, "s2"], "left")
+        work = fold.with_plain(work, counts, "s2", ascii_mode)
         work = work.withColumn("ascii", F.when(F.col("plain") != F.col("s2"), F.col("plain")))
         rare = (F.col("plain") == F.col("s2")) & (F.col("own") < MIN_CLEAN_SIBLINGS) if ascii_mode == fold.EVIDENCE else F.lit(False)
         work = work.withColumn("unresolved", F.coalesce(rare, F.lit(False)))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-DEFAULT_SHARED = "file:///tmp/checkpoints/pagemend"
-
 
 def cut(df: DataFrame) -> DataFrame:
     """The table, written once: what reads it neither plans nor computes it again, and a lost executor loses none of it.
 
-    The folder is spark.checkpoint.dir, or one of our own where that is unset.
+    The folder is spark.checkpoint.dir. Only in local mode, where one machine is all, is there
+    one of our own if that is unset.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or f"file:///tmp/checkpoints/{sc.applicationId}")
     return df.checkpoint(eager=True)
