@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -90,6 +91,22 @@ def scratch(spark: SparkSession):
             delete_uri(spark, file)
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that were cut and aren't read again, and let go of the shuffle files behind all tables that have been cut.
+
+    Spark removes those once nothing refers to them, but looks for them seldom; asking for a
+    collection frees the disks between the steps of a long operator.
+    """
+    for table in tables:
+        for file in _files_of(table):
+            delete_uri(spark, file)
+            for own in _OPEN:
+                if file in own:
+                    own.remove(file)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def reserved(table: DataFrame, *prefixes: str) -> None:
     """ValueError if a column of the table begins with a name that the operator uses for its own."""
     taken = [c for c in table.columns if c.lower().startswith(tuple(prefixes))]

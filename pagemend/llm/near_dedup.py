@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, settle, tune
+from .common import cut, forget, scratch, settle, tune
 from .components import connected
 
 WIDTH = 5
@@ -220,12 +220,14 @@ def _first_pairs(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, Data
     values = reps.select(F.col("node").alias("x"), "n", kept.alias("size"), need.alias("need"), F.explode("sketch").alias("v"))
     central = F.sum(F.log("df")).over(Window.partitionBy("x", "n")) / F.col("size")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t)).cast("int")
-    ranked = _ranked(values, ["x", "n"], [], "v").withColumn("w", central).withColumn("band", F.explode(F.array(band, band + 1)))
-    ranked = cut(ranked.select("x", "n", "v", "band", "w", (F.col("at") <= F.col("size") - F.col("need") + 1).alias("listed")))
+    once = _ranked(values, ["x", "n"], [], "v").withColumn("w", central)
+    once = cut(once.select("x", "n", "v", "w", (F.col("at") <= F.col("size") - F.col("need") + 1).alias("listed")))
+    ranked = once.withColumn("band", F.explode(F.array(band, band + 1)))
     # a hub may hold the value beyond its listed ones, so that the lists of a group agree on one hub
     listed = ranked.filter("listed").drop("listed")
     several = listed.groupBy("v", "band").agg(F.count("*").alias("m")).filter("m > 1").select("v", "band")
     lists = cut(_with_hub(listed.join(several, ["v", "band"]), ranked, ["v", "band"]))
+    forget(reps.sparkSession, once)
     both = _with_sketches(lists.select("x", "h").distinct(), reps)
     union = F.slice(F.array_sort(F.array_union("sx", "sh")), 1, k)
     estimate = F.size(F.array_intersect(F.array_intersect("sx", "sh"), union)) / F.size(union)
@@ -290,6 +292,7 @@ def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: in
     lists, pairs = _first_pairs(reps, percent, k)
     sets = _full_sets(docs, _nodes(pairs), width)
     found, done = _links(pairs, sets, percent), pairs
+    forget(reps.sparkSession)
     as_links = lambda f: f.filter("link").select(F.col("x").alias("a"), F.col("h").alias("b"))
     links = as_links(found)
     comps = connected(links)
@@ -319,6 +322,7 @@ def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: in
     same = lambda p: p
     for members, key, direct, likely in ((_differences(found), ["h", "v"], _direct, same), (_far(lists, found), ["v", "band"], _direct_far, alike)):
         before = math.inf
+        forget(reps.sparkSession)
         while True:
             rest = _rest(members, comps, key)
             n_tests = rest.select(*key, "tests").distinct().agg(F.sum("tests")).first()[0] or 0
@@ -345,7 +349,9 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k:
 def _groups(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     base = cut(docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(_sketches(width, k), "doc_id long, n long, f1 long, f2 long, sketch array<long>"))
     classes = cut(base.filter("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    rows = base.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
+    narrow = cut(base.select("doc_id", "n", "f1", "f2"))
+    forget(docs.sparkSession, base)
+    rows = narrow.join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
     # one doc_id in several classes: its classes are one document
     split = rows.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("doc_id")
     same = rows.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
