@@ -70,7 +70,9 @@ def choose(tally: DataFrame, key: list[str], plausible=None) -> DataFrame:
         return first
     best = tally.groupBy(*key).agg(F.max("n").alias("__best"))
     close = tally.join(best, key).filter(F.col("n") * TIE_FACTOR >= F.col("__best"))
-    if isinstance(plausible, Plausibility):
+    if isinstance(plausible, Plausibility) and plausible.known is None and plausible.frequencies is None:
+        score = F.lit(0.0)  # no word is known: counts and texts decide
+    elif isinstance(plausible, Plausibility):
         close, score = close.join(plausible.scores(close), "text"), F.col("p")
     else:
         score = plausible("text")
