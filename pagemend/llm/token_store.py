@@ -150,6 +150,10 @@ class Segment:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.n_null else (self.first + self.own[i - self.n_null] + (1 << 63)) % (1 << 64) - (1 << 63)
 
+    def all_ids(self) -> list[int | None]:
+        known = (self.own.all() + np.int64(self.first))[: self.n_docs - self.n_null]
+        return [None] * self.n_null + known.tolist()
+
     def document(self, i: int) -> tuple[int, np.ndarray]:
         """Offset within the segment and ids of the i-th document."""
         a, b = self.bounds[i], self.bounds[i + 1]
@@ -383,7 +387,7 @@ def _read_segments(folder: str):
                     start.append(base + at)
                     n.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                docs = pa.array([seg.doc_id(i) for i in range(seg.n_docs)], pa.int64())
+                docs = pa.array(seg.all_ids(), pa.int64())
                 yield pa.RecordBatch.from_arrays([docs, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run

@@ -213,7 +213,7 @@ def test_segment_ids(known, n_null):
     ids = [None] * n_null + sorted(known)
     if ids:
         seg = token_store.Segment(token_store.pack_segment(ids, [np.arange(i, dtype=np.uint32) for i in range(len(ids))], 2))
-        assert [seg.doc_id(i) for i in range(len(ids))] == ids
+        assert [seg.doc_id(i) for i in range(len(ids))] == seg.all_ids() == ids
         assert [seg.document(i)[1].tolist() for i in range(len(ids))] == [list(range(i)) for i in range(len(ids))]
 
 
