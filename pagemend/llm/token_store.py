@@ -36,6 +36,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -338,8 +339,9 @@ MANIFEST = pa.schema([("seg", pa.int64()), ("part", pa.int64()), ("name", pa.str
 def write_store(docs: DataFrame, path: str, folder: str, id_bytes: int = 2, segment_docs: int = SEGMENT_DOCS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Encode all documents into segment files in ``folder``; returns the manifest.
 
-    Segment bounds come from doc_ids and hashes of texts alone: rows are ranged by them into
-    partitions, and the first of every ``segment_docs`` in a partition starts a segment.
+    Segment bounds come from doc_ids alone, and from hashes of texts where one id has very many
+    rows: they are ranged into partitions, and the first of every ``segment_docs`` in a
+    partition starts a segment.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -348,10 +350,22 @@ def write_store(docs: DataFrame, path: str, folder: str, id_bytes: int = 2, segm
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     key, spread = F.coalesce("doc_id", F.lit(NULL)).alias("k"), F.xxhash64("text").alias("h")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(key, spread).repartitionByRange(parts, "k", "h").withColumn("pid", F.spark_partition_id())
-    numbered = ranged.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("k", "h")))
-    # two numbers for each segment_docs documents: 16 bytes of driver memory for about 30 MB of text
-    starts = sorted({(r.k, r.h) for r in numbered.filter((F.col("rn") - 1) % segment_docs == 0).select("k", "h").collect()})
+
+    def every(rows: DataFrame, *order: str) -> list[tuple]:
+        """The first row of every ``segment_docs`` in order, in ranges."""
+        ranged = rows.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id())
+        numbered = ranged.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy(*order)))
+        return [tuple(r) for r in numbered.filter((F.col("rn") - 1) % segment_docs == 0).select(*order).collect()]
+
+    # one number for each segment_docs documents: 8 bytes of driver memory for about 30 MB of text
+    first = Counter(k for (k,) in every(docs.select(key), "k"))
+    starts = {(k, NULL) for k in first}
+    # ids whose rows fill whole segments are cut further by the hashes of their texts
+    full = [(k,) for k, n in first.items() if n > 1]
+    if full:
+        hot = F.broadcast(spark.createDataFrame(full, "k long"))  # fewer than there are segments
+        starts |= set(every(docs.select(key, spread).join(hot, "k", "left_semi"), "k", "h"))
+    starts = sorted(starts)
     bounds = np.array(starts, np.int64).reshape(-1, 2)
     locate = F.pandas_udf(_locate(spark.sparkContext.broadcast(bounds)), "long")
     tokens = docs.select(locate(key, spread).alias("seg"), "doc_id", "text").mapInArrow(_tokenize(path, id_bytes), "seg long, doc_id long, ids binary")
