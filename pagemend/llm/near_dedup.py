@@ -4,28 +4,26 @@
    Documents with equal sets form one class, and only one of each class goes on.
 2. Inverted lists of retained values. Two sets at similarity t share at least c of k
    retained values (but for a chance under ``MISS``, and far under it for closer sets), so a
-   sketch needs to list only its k - c + 1 rarest values. With 48 values and 25 or 29 of them
-   shared, a passage that many documents have is listed only where it makes up more than half
-   of a sketch, and such documents are near each other, so that few are left to step 4.
-   Lists are split by size class, as sets at t differ in size by at most 1 / t.
+   sketch needs to list only its k - c + 1 rarest values. Lists are split by size class, as
+   sets at t differ in size by at most 1 / t.
 3. A list doesn't give its pairs. Each member is compared with the list's hub only (the
-   member whose values are the most common): linear in the list. Union-sketch estimates
-   drop hopeless comparisons, exact Jaccard on full sets decides the rest.
-4. What hubs may miss is found exactly. Of two members near one hub: if x is not linked to
-   hub h but is to y, then x and y share an element of x ^ h and y ^ h (else J(x, y) <=
-   J(x, h)), and at least t * |x | h| - |x & h| of them. So differences from hubs are
-   listed by the same rarest-first rule, lists within one component are done, and the rest
-   are compared pair by pair behind a test of sizes and places that passes few.
-   A member that is not near its list's hub is paired with every member of that list in
-   another component; sketches that share c values go on to the exact test.
+   member whose values are the most common), by exact Jaccard on full sets: linear in the
+   list. Union-sketch estimates drop hopeless comparisons with hubs of a single member.
+4. What hubs may miss is found exactly, however far members are from their hub. Of two
+   members of one hub: if x is not linked to hub h but is to y, then x and y share an
+   element of x ^ h and y ^ h (else J(x, y) <= J(x, h)), and at least t * |x | h| - |x & h|
+   of them. So differences from hubs are listed by the same rarest-first rule, lists within
+   one component are done, and the rest are compared pair by pair behind a test of sizes and
+   places that passes few. What all members have in common with their hub is in no
+   difference, so a passage of many documents gives no pairs by itself.
    While there are very many such tests, further hubs link members first, as linked members
    of one component need no test; hubs only add links, and what is left is tested, dealt in parts.
 5. Links give components; a document's component is the least doc_id reachable.
 
 Full sets are rebuilt only for documents in some comparison. Nothing is capped: but for
-``MISS`` no link is lost. The price is the second kind of test in step 4: many documents that
-are made of the same few passages, in shares of more than half, and are far from their hub
-and from each other are compared pair by pair.
+``MISS`` no link is lost. The price is the difference from a hub, up to the size of both sets
+where they are far apart; and documents made of the same few passages, no one of which tells
+them apart, pass more of the tests of step 4.
 
 Defined cases: null, empty or wordless text has an empty set and no links; fewer words
 than a shingle are one shingle; rows with a null doc_id are never linked, have a null
@@ -51,8 +49,8 @@ PERCENT = 80
 K = 48
 #: The chance that two sets exactly at the similarity share too few retained values to meet.
 MISS = 1e-5
-NEAR = 0.4
-NEAR_ESTIMATE = 0.2
+#: A hub of one member isn't compared with it below this estimate; hubs of several are with all.
+HOPELESS = 0.2
 CACHE_WORDS = 100_000
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -133,25 +131,23 @@ def _sets(width: int):
     return run
 
 
-def _compare(percent: int, near: float):
-    """x, h, sets of both -> link, and where h is near enough the differences and the overlap they need."""
+def _compare(percent: int):
+    """x, h, sets of both, several -> link, and where h has several members the differences and the overlap they need."""
 
     def run(batches):
         for batch in batches:
-            link, near_, need, own, hub, diff = [], [], [], [], [], []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            link, need, own, hub, diff = [], [], [], [], []
+            for a, b, several in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
                 both = np.concatenate([a, b])
                 both.sort()
                 twice = np.flatnonzero(both[1:] == both[:-1])
                 inter, union = len(twice), len(both) - len(twice)
                 linked = 100 * inter >= percent * union
-                ok = inter >= near * union
                 link.append(linked)
-                near_.append(ok)
                 own.append(len(a) - inter)
                 hub.append(len(b))
-                if ok:
+                if several:
                     lone = np.ones(len(both), bool)
                     lone[twice] = lone[twice + 1] = False
                     diff.append(both[lone])
@@ -160,8 +156,8 @@ def _compare(percent: int, near: float):
                     diff.append(None)
                     need.append(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(link), pa.array(near_), pa.array(need, pa.int64()), pa.array(own, pa.int64()), pa.array(hub, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
-                names=["x", "h", "link", "near", "need", "own", "hub", "diff"],
+                [batch.column(0), batch.column(1), pa.array(link), pa.array(need, pa.int64()), pa.array(own, pa.int64()), pa.array(hub, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
+                names=["x", "h", "link", "need", "own", "hub", "diff"],
             )
             settle()
 
@@ -186,9 +182,10 @@ def _with_hub(lists: DataFrame, candidates: DataFrame, key: list[str]) -> DataFr
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, h, several) with their exact link; what ``_differences`` needs where ``several`` says so."""
     left = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("hx")), "x")
     both = left.join(sets.select(F.col("node").alias("h"), F.col("hashes").alias("hh")), "h")
-    return cut(both.select("x", "h", "hx", "hh").mapInArrow(_compare(percent, NEAR), "x long, h long, link boolean, near boolean, need long, own long, hub long, diff array<long>"))
+    return cut(both.select("x", "h", "hx", "hh", "several").mapInArrow(_compare(percent), "x long, h long, link boolean, need long, own long, hub long, diff array<long>"))
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -202,21 +199,12 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("h").alias("node")))
 
 
-def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    left = pairs.join(reps.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
-    return left.join(reps.select(F.col("node").alias("h"), F.col("n").alias("nh"), F.col("sketch").alias("sh")), "h")
-
-
-def _least_shared(n, percent: int, c: int):
-    """How many values sketches share at the similarity if the smaller set has n."""
-    return F.least(F.lit(c), F.ceil(n * percent / 100))
-
-
-def _first_pairs(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """The lists (x, n, w, v, band, h) without their hubs, and their pairs (x, h) that may be near."""
+def _first_pairs(reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (x, h, several) of members of lists with their hubs; ``several`` if the hub has more than one."""
     t = percent / 100
     kept = F.size("sketch")
-    need = _least_shared(F.col("n"), percent, shared_values(k, t))
+    # of sketches at the similarity, if the smaller set has n
+    need = F.least(F.lit(shared_values(k, t)), F.ceil(F.col("n") * percent / 100))
     values = reps.select(F.col("node").alias("x"), "n", kept.alias("size"), need.alias("need"), F.explode("sketch").alias("v"))
     central = F.sum(F.log("df")).over(Window.partitionBy("x", "n")) / F.col("size")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t)).cast("int")
@@ -226,117 +214,88 @@ def _first_pairs(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, Data
     # a hub may hold the value beyond its listed ones, so that the lists of a group agree on one hub
     listed = ranked.filter("listed").drop("listed")
     several = listed.groupBy("v", "band").agg(F.count("*").alias("m")).filter("m > 1").select("v", "band")
-    lists = cut(_with_hub(listed.join(several, ["v", "band"]), ranked, ["v", "band"]))
+    hubs = cut(_with_hub(listed.join(several, ["v", "band"]), ranked, ["v", "band"]).select("x", "h").distinct())
     forget(reps.sparkSession, once)
-    both = _with_sketches(lists.select("x", "h").distinct(), reps)
+    pairs = hubs.join(hubs.groupBy("h").agg((F.count("*") > 1).alias("several")), "h")
+    alone = pairs.filter("not several")
+    both = alone.join(reps.select(F.col("node").alias("x"), F.col("sketch").alias("sx")), "x").join(reps.select(F.col("node").alias("h"), F.col("sketch").alias("sh")), "h")
     union = F.slice(F.array_sort(F.array_union("sx", "sh")), 1, k)
     estimate = F.size(F.array_intersect(F.array_intersect("sx", "sh"), union)) / F.size(union)
-    return lists, cut(both.filter(estimate >= NEAR_ESTIMATE).select("x", "h").distinct())
+    likely = both.filter(estimate >= HOPELESS)
+    return cut(pairs.filter("several").select("x", "h", "several").unionByName(likely.select("x", "h", "several")))
 
 
 def _differences(found: DataFrame) -> DataFrame:
     """Lists (h, v) of the differences from a hub; a member is open if it is not linked to h."""
-    open_hubs = found.filter("near and not link").select("h").distinct()
-    rows = found.filter("near").join(open_hubs, "h", "left_semi")
+    open_hubs = found.filter("diff is not null and not link").select("h").distinct()
+    rows = found.filter("diff is not null").join(open_hubs, "h", "left_semi")
     values = rows.select("x", "h", (~F.col("link")).alias("open"), "need", "own", "hub", F.size("diff").alias("size"), F.explode("diff").alias("v"))
     short = _ranked(values, ["x", "h"], ["h"], "v").filter(F.col("at") <= F.col("size") - F.greatest("need", F.lit(1)) + 1)
     return cut(short.select("x", "h", "v", "at", "open", "size", "own", "hub", (-F.col("size")).alias("w")))
 
 
-def _far(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Lists (v, band); a member is open if it is not near the list's hub."""
-    near = found.filter("near").select("x", "h", F.lit(True).alias("near"))
-    return lists.join(near, ["x", "h"], "left").select("x", "n", "w", "v", "band", F.col("near").isNull().alias("open"))
-
-
-def _rest(lists: DataFrame, comps: DataFrame, key: list[str]) -> DataFrame:
-    """Lists with an open member and a member of another component; ``tests`` counts such pairs, ``parts`` deals them."""
-    named = lists.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    each = named.groupBy(*key, "comp").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count("*").alias("a"))
-    several = each.groupBy(*key).agg((F.sum("o") * F.sum("a") - F.sum(F.col("o") * F.col("a"))).alias("tests")).filter("tests > 0")
+def _rest(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Lists (h, v) with an open member and a member of another component; ``tests`` counts such pairs, ``parts`` deals them."""
+    named = members.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    each = named.groupBy("h", "v", "comp").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count("*").alias("a"))
+    several = each.groupBy("h", "v").agg((F.sum("o") * F.sum("a") - F.sum(F.col("o") * F.col("a"))).alias("tests")).filter("tests > 0")
     parts = F.least(F.ceil(F.col("tests") / PART_TESTS), F.lit(MOST_PARTS)).cast("int")
-    return cut(named.join(several, key).withColumn("parts", parts))
-
-
-def _joined(rest: DataFrame, key: list[str], test) -> DataFrame:
-    """Pairs (x, h) of an open and any member of one list that are of two components and pass the test."""
-    a = rest.filter("open").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).alias("a")
-    b = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    on = (F.col("a.comp") != F.col("b.comp")) & test
-    for c in (*key, "part"):
-        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    return a.join(b, on).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("h")).distinct()
+    return cut(named.join(several, ["h", "v"]).withColumn("parts", parts))
 
 
 def _direct(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the lists of differences that can still be at the similarity.
+    """Pairs (x, h) of an open and any member of a list of differences that are of two components and can still be at the similarity.
 
     With o shared differences, |x & y| = |h| - |h - x| - |h - y| + o, so the similarity sets
     the least o; the first shared value, at places i and j, leaves 1 + min of what follows.
     """
+    a = rest.filter("open").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).alias("a")
+    b = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     both = F.col("a.size") + F.col("b.size")
     own = F.col("a.own") + F.col("b.own")
     least = percent * (F.col("a.hub") + own) - 100 * F.col("a.hub") + 100 * (both - own)
     most = 1 + F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    return _joined(rest, ["h", "v"], most * (100 + percent) >= least)
-
-
-def _direct_far(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the lists of values whose sizes can be at the similarity."""
-    sizes = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    return _joined(rest, ["v", "band"], sizes)
+    on = (F.col("a.comp") != F.col("b.comp")) & (most * (100 + percent) >= least)
+    for c in ("h", "v", "part"):
+        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return a.join(b, on).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("h")).distinct()
 
 
-def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """(a, b) links that give the components of all pairs at the similarity."""
-    lists, pairs = _first_pairs(reps, percent, k)
-    sets = _full_sets(docs, _nodes(pairs), width)
-    found, done = _links(pairs, sets, percent), pairs
-    forget(reps.sparkSession)
+def near_components(docs: DataFrame, reps: DataFrame, same: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """(node, comp): components of all pairs at the similarity and of the links (a, b) in ``same``."""
+    pairs = _first_pairs(reps, percent, k)
+    sets = _full_sets(docs, _nodes(pairs), width)  # of all hubs and members, so of all pairs to come
+    found, done = _links(pairs, sets, percent), pairs.select("x", "h")
     as_links = lambda f: f.filter("link").select(F.col("x").alias("a"), F.col("h").alias("b"))
-    links = as_links(found)
-    comps = connected(links)
-    c = shared_values(k, percent / 100)
-
-    def alike(p):
-        shared = F.size(F.array_intersect("sx", "sh"))
-        return _with_sketches(p, reps).filter(shared >= _least_shared(F.least("nx", "nh"), percent, c)).select("x", "h")
-
-    def new_links(p):
-        nonlocal sets, links, comps, done
-        old = done.unionByName(done.select(F.col("h").alias("x"), F.col("x").alias("h")))
-        p = cut(p.join(old, ["x", "h"], "left_anti"))
-        if p.isEmpty():
-            return False
-        more = cut(_nodes(p).distinct().join(sets, "node", "left_anti"))
-        if not more.isEmpty():
-            sets = sets.unionByName(_full_sets(docs, more, width))
-        new = as_links(_links(p, sets, percent))
-        done = done.unionByName(p)
-        if new.isEmpty():
-            return False
-        links = links.unionByName(new)
-        comps = connected(links)
-        return True
-
-    same = lambda p: p
-    for members, key, direct, likely in ((_differences(found), ["h", "v"], _direct, same), (_far(lists, found), ["v", "band"], _direct_far, alike)):
-        before = math.inf
+    links = as_links(found).unionByName(same)
+    comps = cut(connected(links))
+    members = _differences(found)
+    before = math.inf
+    while True:
         forget(reps.sparkSession)
-        while True:
-            rest = _rest(members, comps, key)
-            n_tests = rest.select(*key, "tests").distinct().agg(F.sum("tests")).first()[0] or 0
-            if DIRECT_TESTS < n_tests <= before / 2:
-                before = n_tests
-                # hubs of the open lists; they only add links, so no pair is left untested for them
-                named = rest.withColumnRenamed("h", "from_hub") if "h" in key else rest
-                star = _with_hub(named, named.filter("open"), ["from_hub" if name == "h" else name for name in key])
-                if new_links(likely(star.select("x", "h").distinct())):
-                    continue
-            if n_tests:
-                new_links(likely(direct(rest, percent)))
-            break
-    return links
+        rest = _rest(members, comps)
+        n_tests = rest.select("h", "v", "tests").distinct().agg(F.sum("tests")).first()[0] or 0
+        if not n_tests:
+            return comps
+        rounds = DIRECT_TESTS < n_tests <= before / 2
+        if rounds:
+            before = n_tests
+            # hubs of the open lists; they only add links, so no pair is left untested for them
+            named = rest.withColumnRenamed("h", "from_hub")
+            p = _with_hub(named, named.filter("open"), ["from_hub", "v"]).select("x", "h").distinct()
+        else:
+            p = _direct(rest, percent)
+        old = done.unionByName(done.select(F.col("h").alias("x"), F.col("x").alias("h")))
+        p = cut(p.join(old, ["x", "h"], "left_anti").withColumn("several", F.lit(False)))
+        new = None if p.isEmpty() else as_links(_links(p, sets, percent))
+        if new is not None and not new.isEmpty():
+            links = links.unionByName(new)
+            comps = cut(connected(links))
+        elif rounds:
+            before = 0  # hubs add no more links: the lists are tested as they are
+        done = done.unionByName(p.select("x", "h"))
+        if not rounds:
+            return comps
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -349,14 +308,12 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k:
 def _groups(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     base = cut(docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(_sketches(width, k), "doc_id long, n long, f1 long, f2 long, sketch array<long>"))
     classes = cut(base.filter("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    narrow = cut(base.select("doc_id", "n", "f1", "f2"))
+    rows = cut(base.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left").select("doc_id", "n", "node"))
     forget(docs.sparkSession, base)
-    rows = narrow.join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
     # one doc_id in several classes: its classes are one document
     split = rows.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("doc_id")
-    same = rows.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = near_links(docs.select("doc_id", "text"), classes.select("node", "n", "sketch"), width, percent, k)
-    comps = cut(connected(links.unionByName(same)))
+    same = cut(rows.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    comps = near_components(docs.select("doc_id", "text"), classes.select("node", "n", "sketch"), same, width, percent, k)
     named = rows.join(comps, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagemend.llm import ann, media, near_dedup, pieces, toxicity
+from pagemend.llm.components import connected
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", "  two  spaces ", "Hello world", "é日本🦊\x00", "▁mark", "a" * 3000, "line\none\ttab", "word " * 4000]
@@ -404,6 +405,52 @@ def test_no_twin_is_missed(spark, monkeypatch, rows, tests):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(rows, 85)
 
 
+def one_passage(seed, n):
+    """Texts over half of which is one passage, the rest their own; every tenth has a twin of one other word."""
+    rng = np.random.default_rng(seed)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for i in range(n):
+        words = passage + [f"o{i}w{k}" for k in range(rng.integers(42, 50))]
+        rows.append((10 * i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((10 * i + 1, " ".join([*words[:-9], f"t{i}", *words[-8:]])))
+    return rows
+
+
+def test_a_passage_of_many_documents_gives_no_pairs(spark, monkeypatch):
+    compared, links = [], near_dedup._links
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    rows = one_passage(5, 200)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    want = brute_groups(rows, 80)
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 200
+    assert sum(compared) < 4 * len(rows)  # 24,090 pairs of these texts have the passage in common
+
+
+def test_connected(spark):
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [tuple(map(int, e)) for e in rng.integers(200, 300, (60, 2))] + [(7, 7), (400, 400)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(root) and {r.node: r.comp for r in got} == {x: find(x) for x in root}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # --- media -------------------------------------------------------------------
 
 
