@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemend.functions.similarity import nearest_words, ratio, ratio_value
+from pagemend.functions.similarity import Openings, nearest_words, ratio, ratio_value
 from pagemend.functions.text import classify, common_prefix, core_of, figure_safe, resolve_dpi, rule_id, strip, two_places
 from pagemend.operators import disagree, lexicon
 from pagemend.operators.blocking import near_pairs
@@ -32,6 +32,20 @@ def test_nearest_words_against_all_pairs(asked, others, block):
     assert {i: (value, j) for i, value, j in nearest_words(asked, others, places, 0.72, block)} == want
 
 
+def test_lookup_grows_slower_than_words():
+    rng = np.random.default_rng(5)
+    parts = ["the", "ion", "er", "st", "an", "th", "re", "on", "ly", "ing", "ou", "ar", "es", "ti", "un", "con"]
+    made = sorted({w[:8] for w in map("".join, rng.choice(parts, (200_000, 5))) if len(w) >= 8})
+    others = [made[k] for k in rng.permutation(len(made))]
+    asked = [w.replace("o", "0", 1) for w in others[-400:] if "o" in w]
+    states = {}
+    for n in (4000, 32000):
+        seen = []
+        Openings(others[:n]).alike(asked, np.full(len(asked), 6), seen)
+        states[n] = sum(seen)
+    assert states[32000] < 4 * states[4000] and states[32000] < len(asked) * 32000 / 10, states
+
+
 def test_words_longer_than_a_machine_word():
     base = "abcdefghij" * 7
     others = [base[:35] + "X" + base[36:], "z" * 70, base[:-1] + "Y"]
