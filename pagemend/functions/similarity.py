@@ -113,7 +113,7 @@ class Trie:
 
 
 #: States that a walk holds at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 16
 
 
 def _below(bits: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ class Openings:
         return i[once], j[once], common[once]
 
 
-def nearest_words(asked: list[str], others: list[str], places: list, least: float, block: int = 2048) -> list[tuple[int, float, int]]:
+def nearest_words(asked: list[str], others: list[str], places: list, least: float, block: int = 4096) -> list[tuple[int, float, int]]:
     """(i, ratio, j): for asked words with a ratio of ``least`` to one of ``others``, the best; ties to the smallest place.
 
     All of ``others`` have one length. Walks over their openings and endings find those whose

@@ -1,6 +1,6 @@
 """Text shapes as column expressions: predicates, projections and prefixes.
 
-Everything here stays in the JVM. White space and digits are Unicode's, as U+001C..U+001F
+Everything here but ``classify`` stays in the JVM. White space and digits are Unicode's, as U+001C..U+001F
 count as white space in the reference semantics, too.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemend.functions.spelling import kinds
 from pagemend.schema import EDITS_LONG, EDITS_SHORT, FALLBACK_DPI, FIGURE_PREFIX, SHORT_CORE
 
 # The patterns decide results.
@@ -95,11 +96,7 @@ def is_cosmetic(old, new) -> Column:
 
 def classify(text, canonical) -> Column:
     """spacing, punctuation, case, or disagrees: how two spellings differ."""
-    a, b = payload(text), payload(canonical)
-    return (
-        F.when(is_cosmetic(text, canonical), "spacing").when(a == b, "punctuation")
-        .when(F.lower(a) == F.lower(b), "case").otherwise("disagrees")
-    )
+    return F.arrow_udf(kinds, "string")(col(text), col(canonical))
 
 
 def let(value, body) -> Column:

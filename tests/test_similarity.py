@@ -1,13 +1,16 @@
 """Blocked similarity joins against all pairs, in plain Python."""
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagemend.functions.similarity import Openings, nearest_words, ratio, ratio_value
+from pagemend.functions.spelling import kinds as spelling_kinds
 from pagemend.functions.text import classify, common_prefix, core_of, figure_safe, resolve_dpi, rule_id, strip, two_places
 from pagemend.operators import disagree, lexicon
 from pagemend.operators.blocking import near_pairs
@@ -190,3 +193,26 @@ def test_longest_opening_against_all_pairs(spark, texts, lines, random):
     asked = spark.createDataFrame([("d", "A", t) for t in texts], "document_id string, cluster_key string, text string")
     got = {r.text: r.other for r in longest_opening(asked, given_, ["document_id", "cluster_key"], 2).collect()}
     assert got == brute_opening(texts, [(p[2], p) for p in places], 2)
+
+
+SPELLINGS = st.lists(st.tuples(*[st.one_of(st.none(), st.text("aAb1., \t\x1c\x85\xa0\u1680\u2003\u2028\u205f\u3000\u200b\u180eéÂ€😀", max_size=5))] * 2), max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(SPELLINGS, st.integers(0, 3))
+def test_spelling_kinds_of_a_batch(pairs, skipped):
+    def plain_kind(a, b):
+        if a is None or b is None:
+            return "disagrees"
+        space = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+        x, y = (re.sub("[^A-Za-z0-9]", "", t) for t in (a, b))
+        return "spacing" if re.sub(space, "", a) == re.sub(space, "", b) else "punctuation" if x == y else "case" if x.lower() == y.lower() else "disagrees"
+
+    a, b = (pa.array([p[k] for p in pairs], pa.string())[skipped:] for k in (0, 1))
+    assert spelling_kinds(a, b).to_pylist() == [plain_kind(*p) for p in pairs[skipped:]]
+
+
+def test_classify_rewrites_no_text(spark, capsys):
+    spark.createDataFrame([("a b", "ab")], "a string, b string").select(classify("a", "b")).explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" in plan and "regexp_replace" not in plan
