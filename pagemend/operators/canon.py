@@ -88,10 +88,12 @@ def slot_canon(clustered: DataFrame, plausible=None) -> DataFrame:
 
 def drop_near_misses(tally: DataFrame, key: list[str], min_support: int = MIN_CLEAN_SIBLINGS) -> DataFrame:
     """The tally (key, text, n) without rare texts that a far more frequent near-twin contradicts."""
-    frequent = tally.filter(F.col("n") >= min_support).select(*key, F.col("text").alias("other"), F.col("n").alias("other_n"))
-    # only counts at which some frequent text of the cluster can contradict take part
-    room = frequent.groupBy(*key).agg(F.max("other_n").alias("__top"))
     allowed = lambda n: F.greatest(F.lit(1), F.floor(n * NEAR_MISS_FRACTION))
+    # only texts that can contradict the rarest of the cluster, and counts at which one of them can, take part
+    rarest = tally.groupBy(*key).agg(F.min("n").alias("__low"))
+    frequent = tally.filter(F.col("n") >= min_support).join(rarest, key).filter((F.col("n") > F.col("__low")) & (allowed(F.col("n")) >= F.col("__low")))
+    frequent = frequent.select(*key, F.col("text").alias("other"), F.col("n").alias("other_n"))
+    room = frequent.groupBy(*key).agg(F.max("other_n").alias("__top"))
     probes = tally.join(room, key).filter((F.col("n") < F.col("__top")) & (F.col("n") <= allowed(F.col("__top")))).select(*key, "text")
     pairs = near_pairs(probes, frequent.select(*key, "other"), key, NEAR_MISS_LENGTH_GAP, NEAR_MISS_RATIO, 1)
     judged = pairs.join(tally, [*key, "text"]).join(frequent, [*key, "other"])

@@ -98,6 +98,43 @@ def test_near_pairs_lose_nothing(spark):
         assert want <= got and all(abs(len(a) - len(b)) <= 3 for a, b in got)
 
 
+def metrics(df, part, name):
+    """The values of a metric in the nodes of a plan, once it has run, whose names have ``part``."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    df._jdf.queryExecution().toRdd().count()
+
+    def walk(node):
+        if re.search(part, node.nodeName()) and node.metrics().contains(name):
+            out.append(node.metrics().apply(name).value())
+        for inner in ("executedPlan",) * (node.nodeName() == "AdaptiveSparkPlan") + ("plan",) * ("QueryStage" in node.nodeName()):
+            walk(getattr(node, inner)())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    return out
+
+
+def long_texts(n):
+    rng = np.random.default_rng(4)
+    return sorted({"".join(rng.choice(["the ", "ion ", "er", "st", "an", "th", "re ", "on"], 80))[:160] for _ in range(n)})
+
+
+def test_near_pairs_join_no_trigrams(spark):
+    texts = long_texts(300)
+    probes, canon = (spark.createDataFrame([("k", t) for t in texts], f"key string, {c} string") for c in ("text", "other"))
+    pairs = near_pairs(probes, canon, ["key"], 3, 0.9, 8)
+    assert max(metrics(pairs, "Join", "numOutputRows")) <= 7 * len(texts)
+
+
+def test_disagreements_move_no_probes(spark):
+    texts = long_texts(2000)
+    counts = spark.createDataFrame([("d", "c", t, 1, 1, (i, 0)) for i, t in enumerate(texts)] + [("d", "c", "a heading of all pages", 9, 9, (0, 1))], "document_id string, cluster_key string, text string, n long, n_confident long, first struct<page_ord: int, line_no: int>")
+    clusters = spark.createDataFrame([("d", "c", 12, True)], "document_id string, cluster_key string, n_pages long, can_vote boolean")
+    out = disagree.disagreeing_texts(counts, disagree.canonical_counts(counts, clusters))
+    assert out.count() == 0 and sum(metrics(out, "^Exchange", "dataSize")) < sum(map(len, texts)) / 2
+
+
 def test_closest_token(spark):
     rng = np.random.default_rng(8)
     words = [w.replace(" ", "q") for w in noisy(9, 200, 3, 12)]
