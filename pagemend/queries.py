@@ -15,6 +15,7 @@ from pagemend.functions import text as T
 from pagemend.operators import canon, disagree, errors, fold, lexical, lexicon, recover, review
 from pagemend.operators.cluster import CLUSTER, cluster_info, cluster_pages
 from pagemend.plans.correct import Correction, correct
+from pagemend.plans.cut import cut
 from pagemend.ratio_sql import bag_bound, can_share, mask, ratio_parts
 from pagemend.schema import CONF_GATE, LINE, MIN_CLEAN_SIBLINGS, MIN_LINE_LENGTH, lines_of
 from pagemend.sinks import text as sink
@@ -585,7 +586,7 @@ def lexicon_repair(spark, sf_dir):
 @query(with_(LINES_SQL, COUNTS_SQL, _disagree_sql()) + " SELECT document_id, cluster_key, text, canonical, kind FROM contradicted")
 def disagreements(spark, sf_dir):
     pages = ocr_pages(spark, sf_dir)
-    counts = canon.text_counts(pages)
+    counts = cut(canon.text_counts(pages))
     return disagree.disagreeing_texts(counts, disagree.canonical_counts(counts, cluster_info(pages)))
 
 
